@@ -31,7 +31,6 @@ returned and take the least component of any of them. Only doc_id and text are r
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,40 +73,55 @@ def _sum(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-@functools.lru_cache
-def size_class(n: int, percent: int) -> tuple[int, tuple[tuple[int, int, int], ...]]:
-    """The size class of n, and (class, bands, spare) of each class in which a set of n shingles is dealt.
+def _bands(top: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bands, and spare ones among them, of classes of sets of up to top shingles."""
+    d = (100 - percent) * 2 * top // (100 + percent)  # |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|)
+    spare = np.where(d > 0, 3 + (d + 1) // 64, 0)
+    return d + 1 + spare, spare
 
-    Class c holds the sizes up to its top; each set is dealt in its own class, and in the next
-    one as well if a set of that class can still link with it. A class deals all its sets,
-    and those of the class below, into as many bands.
+
+def _tops(largest: int) -> np.ndarray:
+    """The largest size of each class, half as large again from class to class."""
+    tops = [8]
+    while tops[-1] < largest:
+        tops.append(tops[-1] * 3 // 2)
+    return np.array([*tops, tops[-1] * 3 // 2], np.int64)
+
+
+def band_digests(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests by which sets meet those they may link with, and the number of the set of each.
+
+    A set is dealt in the class of its size, and in the next one as well if a set of that
+    class can still link with it. Two sets that are dealt in a class differ in at most d
+    shingles, so in at most d of its bands.
     """
-    top, c = 8, 0
-    while top < n:
-        top, c = top * 3 // 2, c + 1
-    def bands(top: int) -> tuple[int, int]:
-        d = (100 - percent) * 2 * top // (100 + percent)  # |x ^ y| <= (1-t)/(1+t) (|x|+|y|)
-        e = 3 + (d + 1) // 64 if d else 0
-        return d + 1 + e, e
-    out = [(c, *bands(top))]
-    if n * 100 >= (top + 1) * percent:
-        out.append((c + 1, *bands(top * 3 // 2)))
-    return c, tuple(out)
-
-
-def band_digests(h: np.ndarray, percent: int) -> np.ndarray:
-    """The digests by which a set meets the sets that it may link with."""
-    found = []
-    for c, k, spare in size_class(len(h), percent)[1]:
-        band = (X.mix(h ^ U64(0xA5A5A5A5)) % U64(k)).astype(np.int64)
-        total = np.zeros(k, np.uint64)
-        np.add.at(total, band, X.mix(h + U64(0x51ED)))
-        count = np.bincount(band, minlength=k)
-        tag = np.arange(k, dtype=np.uint64) * U64(0x9E3779B97F4A7C15) + U64(c * 0x1000193 + k)
-        digest = X.mix(X.mix(total + count.astype(np.uint64)) ^ X.mix(tag))
+    n = np.diff(first)
+    tops = _tops(int(n.max(initial=1)))
+    own = np.searchsorted(tops, n)
+    digests, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for step in (0, 1):
+        sets = np.flatnonzero((n > 0) if step == 0 else (n > 0) & (n * 100 >= (tops[own] + 1) * percent))
+        if not len(sets):
+            continue
+        level = own[sets] + step
+        k, spare = _bands(tops[level], percent)
+        begin = np.concatenate(([0], np.cumsum(k)))
+        size = n[sets]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        v = h[inside + np.repeat(first[sets], size)]
+        slot = np.repeat(begin[:-1], size) + (X.mix(v ^ U64(0xA5A5A5A5)) % np.repeat(k, size).astype(np.uint64)).astype(np.int64)
+        v = X.mix(v + U64(0x51ED))
+        low = np.bincount(slot, (v & U64(0xFFFFFFFF)).astype(np.float64), begin[-1]).astype(np.uint64)
+        high = np.bincount(slot, (v >> U64(32)).astype(np.float64), begin[-1]).astype(np.uint64)
+        count = np.bincount(slot, minlength=begin[-1])
+        doc = np.repeat(np.arange(len(sets)), k)
+        band = (np.arange(begin[-1]) - begin[doc]).astype(np.uint64)
+        digest = X.mix(X.mix(low ^ X.mix(high ^ count.astype(np.uint64))) ^ X.mix(band * U64(0x10001) + level[doc].astype(np.uint64)))
         empty = count == 0
-        found.append(digest if empty.sum() > spare else digest[~empty])
-    return np.concatenate(found)
+        send = ~empty | (np.bincount(doc, empty) > spare)[doc]
+        digests.append(digest[send])
+        docs.append(sets[doc[send]])
+    return np.concatenate(digests), np.concatenate(docs)
 
 
 def _sizes(docs: DataFrame, k: int) -> DataFrame:
@@ -133,8 +147,8 @@ def _meetings(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for block in X.blocks(batch.column(1)):
                 h, first = shingle_sets(block, k)
                 own = ids[block.first : block.first + len(block)]
-                each = [band_digests(h[first[i] : first[i + 1]], percent) if first[i + 1] > first[i] else np.empty(0, np.uint64) for i in range(len(block))]
-                digest, doc = np.concatenate([*each, np.empty(0, np.uint64)]), np.repeat(own, [len(x) for x in each])
+                digest, doc = band_digests(h, first, percent)
+                doc = own[doc]
                 order = np.lexsort((doc, digest))
                 digest, doc = digest[order], doc[order]
                 new = np.ones(len(digest), bool)
@@ -182,24 +196,130 @@ def _meetings(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 class Trie:
-    """Sets in one global order; each leaf holds a set's number. Kept as the sorted sets and the
-    length of each one's common prefix with the set before it, which is a trie read in preorder."""
+    """Sets in one global order (rarest shingle first, then by hash) as the leaves of a trie.
+
+    The leaves are kept in preorder with the depth at which each leaves the path of the one
+    before it; that is the whole trie, without an object for a node.
+    """
 
     def __init__(self, sets: list[np.ndarray]):
-        values, count = np.unique(np.concatenate(sets), return_counts=True)
+        values, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         rank = np.empty(len(values), np.int64)
         rank[np.lexsort((values, count))] = np.arange(len(values))
-        self.sets = [np.sort(rank[np.searchsorted(values, s)]) for s in sets]
-        self.order = sorted(range(len(sets)), key=lambda i: self.sets[i].tobytes().__class__ and tuple(self.sets[i][:8]) + (len(self.sets[i]),))
-        self.shared = [0] * len(sets)
-        for p, (i, j) in enumerate(zip(self.order, self.order[1:]), 1):
-            x, y = self.sets[i], self.sets[j]
+        ranked = np.split(rank[where], np.cumsum([len(s) for s in sets])[:-1])
+        ranked = [np.sort(s) for s in ranked]
+        # big-endian bytes compare as the sequences do
+        self.leaf = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
+        self.path = [ranked[i] for i in self.leaf]
+        self.depth = [0] * len(sets)
+        for p, (x, y) in enumerate(zip(self.path, self.path[1:]), 1):
             n = min(len(x), len(y))
             differ = np.flatnonzero(x[:n] != y[:n])
-            self.shared[p] = int(differ[0]) if len(differ) else n
-        self.size = np.array([len(s) for s in self.sets])
+            self.depth[p] = int(differ[0]) if len(differ) else n
+        self.universe = len(values)
 
 
-def link_bundle(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what all links connect. side: if given, only pairs of different sides are tested."""
-    raise NotImplementedError
+def links(sets: list[np.ndarray], percent: int, side: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links of the non-empty sets that connect all that links connect (a spanning forest).
+
+    side: with it only pairs of different sides count.
+    """
+    if len(sets) < 2:
+        return []
+    trie, found = Trie(sets), []
+    parent = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    size = [len(x) for x in trie.path]
+    within = np.zeros(trie.universe, bool)
+    for p in range(1, len(sets)):
+        x, own = trie.path[p], size[p]
+        within[x] = True
+        longest = own * 100 // percent
+        # of a set of y shingles at least (own + y) * percent / (100 + percent) must be in x
+        most_missed = longest - -(-(own + longest) * percent // (100 + percent))
+        misses, common = None, 0  # misses of the path looked at last, at each depth; what the present path shares of it
+        q = 0
+        while q < p:
+            if q:
+                common = min(common, trie.depth[q])
+            y, n = trie.path[q], size[q]
+            if min(own, n) * 100 < percent * max(own, n) or (side is not None and side[trie.leaf[q]] == side[trie.leaf[p]]) or root(trie.leaf[q]) == root(trie.leaf[p]):
+                q += 1
+                continue
+            if misses is None or not common:
+                misses, common = np.cumsum(~within[y]), n
+            else:
+                misses, common = np.concatenate((misses[:common], misses[common - 1] + np.cumsum(~within[y[common:]]))), n
+            overlap = n - int(misses[-1])
+            if 100 * overlap >= percent * (own + n - overlap):
+                found.append((trie.leaf[p], trie.leaf[q]))
+                parent[root(trie.leaf[q])] = root(trie.leaf[p])
+                q += 1
+                continue
+            # no set below the depth at which too many are missed can link
+            dead = int(np.searchsorted(misses, most_missed, "right")) + 1
+            q += 1
+            while q < p and trie.depth[q] >= dead:
+                q += 1  # leaves of the pruned subtree keep its path, so common holds
+        within[x] = False
+    return found
+
+
+def _bundles(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) within each (cluster, i, j) of texts (cluster, i, j, part, doc_id, text)."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets, ids, parts = None, [], [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(sets) > 1:
+                got = links(sets, percent, parts if key[1] != key[2] else None)
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in got], pa.int64()), pa.array([ids[b] for _, b in got], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+            for block in X.blocks(batch.column(5)):
+                h, first = shingle_sets(block, k)
+                for i in range(len(block)):
+                    *new, part, doc = keys[block.first + i]
+                    if new != key:
+                        yield from done()
+                        key, sets, ids, parts = new, [], [], []
+                    if first[i + 1] > first[i]:
+                        sets.append(h[first[i] : first[i + 1]].copy())
+                        ids.append(doc)
+                        parts.append(part)
+        yield from done()
+
+    return texts.mapInArrow(join, "a bigint, b bigint")
+
+
+def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, bundle_sets: int = BUNDLE_SETS, bundle_shingles: int = BUNDLE_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    if not 70 <= percent <= 100:
+        raise ValueError("percent must be from 70 to 100")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    sizes = cut(_sizes(docs, shingle), "sets")
+    filled = sizes.where("doc_id is not null and n_shingles > 0")
+    first = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    member = filled.join(first, ["n_shingles", "d1", "d2"])
+    copies = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    cluster = components(_meetings(docs, shingle, percent))
+    rep = member.where("doc_id = rep").select("rep", "n_shingles").distinct().join(cluster.withColumnRenamed("node", "rep"), "rep")
+    width = rep.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total")).where("sets > 1")
+    width = width.select("component", F.greatest(F.ceil(F.col("sets") / bundle_sets), F.ceil(F.col("total") / bundle_shingles)).cast("int").alias("n_parts"))
+    rep = rep.join(width, "component").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n_parts")).cast("int"))
+    texts = docs.join(rep.select(F.col("rep").alias("doc_id"), "component", "part", "n_parts"), "doc_id")
+    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+    texts = texts.select(F.col("component").alias("cluster"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "text")
+    texts = texts.repartition(partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
+    found = components(_bundles(texts, shingle, percent).unionByName(copies))
+    out = sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
