@@ -14,7 +14,7 @@ DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; what is und, or likelier none than one language, goes."""
     model = langid.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    told = langid.identify(docs, model, keep=DOCUMENT, text="text")
+    told = langid.identify(docs, model, keep=DOCUMENT)
     return told.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= 0.5) & (F.col("bits_per_byte") <= 8)).select(*DOCUMENT)
 
 

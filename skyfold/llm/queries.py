@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_trie, langid, quality_gbt, repetition
+from . import jaccard_trie, langid, quality_gbt, repetition, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,5 +41,9 @@ def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_trie.jaccard_components(_table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality, op5_repetition, op6_jaccard_components)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), length=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality, op5_repetition, op6_jaccard_components, op8_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
