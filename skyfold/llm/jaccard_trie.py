@@ -7,10 +7,11 @@ A document is the set of its word shingles. Two sets link when
 2. *Meeting.* Sets that link differ in at most d shingles, d growing with their
    size, so of d + 1 + e bands into which the shingles are dealt by hash, 1 + e are
    alike in both. A second pass deals every set of a size class into the class's
-   bands and sends (band digest) -> document in binary blocks; sets that share a band
+   bands and sends (band digest, document) in binary blocks; sets that share a band
    meet. e makes up for empty bands, which are sent only by the few sets that have
-   more of them than e, so no linked pair is lost. Within a block of texts equal
-   bands are joined before anything is sent.
+   more of them than e, so no linked pair is lost. Pairs that meet are dropped where
+   parity sketches prove that they differ in more than d shingles; in a place where
+   many meet none is dropped, and all are tied to its first.
 3. *Join.* Documents that meet, directly or through others, form a cluster. One
    representative of each distinct set goes to its cluster's task; a cluster larger
    than a bundle is split and every two parts meet in a task of their own. There the
@@ -44,7 +45,9 @@ from .components import components
 
 U64 = np.uint64
 #: The most representatives, and the most shingles, of one part of a cluster.
-BUNDLE_SETS, BUNDLE_SHINGLES = 4_000, 3_000_000
+BUNDLE_SETS, BUNDLE_SHINGLES = 2_000, 2_000_000
+#: Sets that share a band are compared by sketch, each with each, if they are up to so many.
+PLACE_PAIRS = 64
 
 
 def shingle_sets(block: X.Block, k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -76,16 +79,16 @@ def _sum(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _bands(top: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Bands, and spare ones among them, of classes of sets of up to top shingles."""
     d = (100 - percent) * 2 * top // (100 + percent)  # |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|)
-    spare = np.where(d > 0, 3 + (d + 1) // 64, 0)
+    spare = np.where(d > 0, 3 + (d + 1) // 50, 0)
     return d + 1 + spare, spare
 
 
-def _tops(largest: int) -> np.ndarray:
-    """The largest size of each class, half as large again from class to class."""
-    tops = [8]
+def _tops(largest: int, percent: int) -> np.ndarray:
+    """The largest size of each class: sets that link lie in the same class or in neighbours."""
+    tops = [1]
     while tops[-1] < largest:
-        tops.append(tops[-1] * 3 // 2)
-    return np.array([*tops, tops[-1] * 3 // 2], np.int64)
+        tops.append(max(tops[-1] + 1, tops[-1] * 100 // percent))
+    return np.array([*tops, max(tops[-1] + 1, tops[-1] * 100 // percent)], np.int64)
 
 
 def band_digests(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +99,7 @@ def band_digests(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.nda
     shingles, so in at most d of its bands.
     """
     n = np.diff(first)
-    tops = _tops(int(n.max(initial=1)))
+    tops = _tops(int(n.max(initial=1)), percent)
     own = np.searchsorted(tops, n)
     digests, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for step in (0, 1):
@@ -124,6 +127,27 @@ def band_digests(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.nda
     return np.concatenate(digests), np.concatenate(docs)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """The parity of the set's shingles in each of a power of two of cells, about two for a shingle.
+
+    Two sets differ in at least as many shingles as their sketches differ in cells; a sketch of
+    more cells folds to one of fewer.
+    """
+    cells = max(64, 1 << int(2 * max(len(h), 1) - 1).bit_length())
+    parity = np.bincount((X.mix(h) % U64(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def may_link(n: int, m: int, x: bytes, y: bytes, percent: int) -> bool:
+    """False only if sets of n and m shingles with these sketches cannot link."""
+    if min(n, m) * 100 < percent * max(n, m):
+        return False
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (100 - percent) * (n + m)
+
+
 def _sizes(docs: DataFrame, k: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -132,13 +156,14 @@ def _sizes(docs: DataFrame, k: int) -> DataFrame:
             for block in X.blocks(batch.column(1)):
                 h, first = shingle_sets(block, k)
                 columns = [np.diff(first).astype(np.int64), _sum(X.mix(h), first).view(np.int64), _sum(X.mix(h ^ U64(0xC0FFEE)), first).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), *map(pa.array, columns)], names=["doc_id", "n_shingles", "d1", "d2"])
+                drawn = pa.array([sketch(h[first[i] : first[i + 1]]) for i in range(len(block))], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), *map(pa.array, columns), drawn], names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
-    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint")
+    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, sketch binary")
 
 
 def _meetings(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): documents that share a band, as stars."""
+    """(place, doc_id): documents with the same place share a band. Places with the same documents come once a task."""
     n_out = partitions(docs.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,51 +173,97 @@ def _meetings(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 h, first = shingle_sets(block, k)
                 own = ids[block.first : block.first + len(block)]
                 digest, doc = band_digests(h, first, percent)
-                doc = own[doc]
-                order = np.lexsort((doc, digest))
-                digest, doc = digest[order], doc[order]
-                new = np.ones(len(digest), bool)
-                new[1:] = digest[1:] != digest[:-1]
-                lead = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
-                pairs = np.unique(np.stack((lead[~new], doc[~new])), axis=1)
-                pairs = pairs[:, pairs[0] != pairs[1]]
-                digest, doc = digest[new], doc[new]
                 part = (digest >> U64(40)).astype(np.int64) % n_out
-                order = np.argsort(part, kind="stable")
-                digest, doc, part = digest[order], doc[order], part[order]
+                order = np.lexsort((digest, part))
+                digest, doc, part = digest[order], own[doc[order]], part[order]
                 cuts = np.searchsorted(part, np.arange(n_out + 1))
                 rows = [(p, digest[i:j].tobytes(), doc[i:j].tobytes()) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
-                if pairs.size:
-                    rows.append((int(pairs[0, 0]) % n_out, None, np.ascontiguousarray(pairs).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "digests", "docs"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, docs, stars = [], [], []
+        digests, docs = [], []
         for batch in batches:
             for d, x in zip(batch.column(1), batch.column(2), strict=True):
-                if d.is_valid:
-                    digests.append(np.frombuffer(d.as_py(), np.uint64))
-                    docs.append(np.frombuffer(x.as_py(), np.int64))
-                else:
-                    stars.append(np.frombuffer(x.as_py(), np.int64).reshape(2, -1))
-        if digests:
-            digest, doc = np.concatenate(digests), np.concatenate(docs)
-            del digests, docs
-            order = np.argsort(digest, kind="stable")
-            digest, doc = digest[order], doc[order]
-            new = np.ones(len(digest), bool)
-            new[1:] = digest[1:] != digest[:-1]
-            at = np.flatnonzero(new)
-            least = np.minimum.reduceat(doc, at)[np.cumsum(new) - 1]
-            apart = least != doc
-            stars.append(np.stack((least[apart], doc[apart])))
-        if stars:
-            pairs = np.unique(np.concatenate(stars, axis=1), axis=1)
-            for i in range(0, pairs.shape[1], 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0, i : i + 100_000]), pa.array(pairs[1, i : i + 100_000])], names=["a", "b"])
+                digests.append(np.frombuffer(d.as_py(), np.uint64))
+                docs.append(np.frombuffer(x.as_py(), np.int64))
+        if not digests:
+            return
+        digest, doc = np.concatenate(digests), np.concatenate(docs)
+        del digests, docs
+        order = np.lexsort((doc, digest))
+        digest, doc = digest[order], doc[order]
+        new = np.concatenate(([True], digest[1:] != digest[:-1]))
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(doc)))
+        # a place is named for its documents, so that equal places are one
+        name = X.mix(np.add.reduceat(X.mix(doc.view(np.uint64)), at) + size.astype(np.uint64)).view(np.int64)
+        _, once = np.unique(name, return_index=True)
+        once = once[size[once] > 1]
+        n = size[once]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place, doc = np.repeat(name[once], n), doc[inside + np.repeat(at[once], n)]
+        for i in range(0, len(doc), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(place[i : i + 100_000]), pa.array(doc[i : i + 100_000])], names=["place", "doc_id"])
 
     dealt = docs.select("doc_id", F.col("text").alias("_text")).where("doc_id is not null").mapInArrow(deal, "part int, digests binary, docs binary")
-    return dealt.repartition(n_out, "part").mapInArrow(meet, "a bigint, b bigint")
+    return dealt.repartition(n_out, "part").mapInArrow(meet, "place bigint, doc_id bigint").distinct()
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """(a, b, sure) of (place, rep): all pairs of a place of up to PLACE_PAIRS sets; of a larger one its
+    first set with each other, sure to be kept so that all of the place stay in one cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, star = None, [], False
+        a, b, sure = [], [], []
+
+        def close() -> None:
+            if not star:
+                for i in range(len(held)):
+                    for j in range(i):
+                        a.append(held[j]), b.append(held[i]), sure.append(False)
+
+        def out() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+            a.clear(), b.clear(), sure.clear()
+            return got
+
+        for batch in batches:
+            for p, rep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if p != place:
+                    close()
+                    place, held, star = p, [], False
+                if star:
+                    a.append(held[0]), b.append(rep), sure.append(True)
+                else:
+                    held.append(rep)
+                    if len(held) > PLACE_PAIRS:
+                        star = True
+                        for x in held[1:]:
+                            a.append(held[0]), b.append(x), sure.append(True)
+                        del held[1:]
+                if len(a) >= 50_000:
+                    yield out()
+        close()
+        yield out()
+
+    met = met.repartition(partitions(met.sparkSession), "place").sortWithinPartitions("place", "rep")
+    return met.mapInArrow(run, "a bigint, b bigint, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are sure or whose sketches allow a link."""
+    left = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("x"))
+    right = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("m"), F.col("sketch").alias("y"))
+    told = pairs.where("not sure").join(left, "a").join(right, "b").where(f"least(n, m) * 100 >= {percent} * greatest(n, m)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = pa.array([may_link(*z, percent) for z in zip(n, m, x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return told.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a bigint, b bigint").unionByName(pairs.where("sure").select("a", "b"))
 
 
 class Trie:
@@ -309,9 +380,12 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, bun
     sizes = cut(_sizes(docs, shingle), "sets")
     filled = sizes.where("doc_id is not null and n_shingles > 0")
     first = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = filled.join(first, ["n_shingles", "d1", "d2"])
+    member = filled.select("doc_id", "n_shingles", "d1", "d2").join(first, ["n_shingles", "d1", "d2"])
     copies = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    cluster = components(_meetings(docs, shingle, percent))
+    # documents that share a band, as their sets' representatives
+    met = _meetings(docs, shingle, percent).join(member.select("doc_id", "rep").distinct(), "doc_id").select("place", "rep").distinct()
+    reps = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"))
+    cluster = components(_likely(_pairs(met), reps, percent))
     rep = member.where("doc_id = rep").select("rep", "n_shingles").distinct().join(cluster.withColumnRenamed("node", "rep"), "rep")
     width = rep.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total")).where("sets > 1")
     width = width.select("component", F.greatest(F.ceil(F.col("sets") / bundle_sets), F.ceil(F.col("total") / bundle_shingles)).cast("int").alias("n_parts"))
