@@ -1,14 +1,14 @@
 """Secret scans through a trigram inverted index (operator 9), in DataFrame functions alone.
 
 From each rule's pattern a Boolean query over three-letter substrings is derived: what
-every text that matches must hold (``trigram_query``). The index has, for each block of
-rows, the list of rows that hold each of these trigrams; the lists are intersected and
-united as the queries say, and only the rows found are searched with the pattern itself.
-A rule whose pattern asks for no trigram searches every row.
+every text that matches must hold (``trigram_query``). The index lists for each of these
+trigrams the rows that hold it; the lists are intersected and united as the queries say,
+by counting each row's entries, and only the rows found are searched with the pattern
+itself. A rule whose pattern asks for no trigram searches every row.
 
-The index ignores case, so it only ever finds too much. Its lists are bounded by the
-block, and hold a 64-bit digest of doc_id and text for a row, so two rows that clash
-are both searched.
+The index ignores case, so it only ever finds too much. A row is listed by a 64-bit digest
+of doc_id and text, so two rows that clash are both searched. Lists are never gathered:
+they are rows, dealt by key.
 
 Spans are in code points, the end exclusive. A kind's matches are leftmost and do not
 overlap; those that fail the kind's own test are dropped without another try.
@@ -27,8 +27,6 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import partitions
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -52,8 +50,8 @@ RULES = (
     Rule("payment", r"sk_live_[A-Za-z0-9]{16,}"),
 )
 
-#: Rows of an index block, and alternatives of a pattern's part that are spelled out at most.
-BLOCK_ROWS, MOST_STRINGS = 20_000, 64
+#: Strings of a pattern's part that are spelled out at most.
+MOST_STRINGS = 64
 
 # Queries: True (anything), ("gram", g), ("and", ...), ("or", ...).
 
@@ -166,46 +164,44 @@ def trigram_query(pattern: str):
     return _part(_parser.parse(pattern)).query
 
 
-def _leaves(query) -> set[str]:
-    return set() if query is True else {query[1]} if query[0] == "gram" else set().union(*map(_leaves, query[1:]))
+def alternatives(query) -> list[frozenset[str]]:
+    """The query as alternatives: trigrams of which a text holds all, for one alternative at least."""
+    if query[0] == "gram":
+        return [frozenset([query[1]])]
+    parts = [alternatives(q) for q in query[1:]]
+    if query[0] == "or":
+        return list(dict.fromkeys(x for p in parts for x in p))
+    out = [frozenset()]
+    for p in parts:
+        out = list(dict.fromkeys(x | y for x in out for y in p))
+    return out
 
 
 def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def build_index(docs: DataFrame, grams: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row for each block of rows: a column g0, g1, ... of the keys of rows with each trigram."""
-    blocks = max(1, -(-docs.count() // block_rows))
+def build_index(docs: DataFrame, grams: list[str]) -> DataFrame:
+    """The postings (gram, key): a row for each row of docs and each of the trigrams that it holds, gram its place in the list."""
     low = F.lower("text")
-    held = docs.select(row_key().alias("key"), *(F.contains(low, F.lit(g)).alias(f"g{i}") for i, g in enumerate(grams)))
-    held = held.where(F.greatest(*(F.col(f"g{i}") for i in range(len(grams))), F.lit(False)))
-    return held.groupBy(F.pmod("key", F.lit(blocks)).alias("block")).agg(*(F.array_sort(F.collect_list(F.when(F.col(f"g{i}"), F.col("key")))).alias(f"g{i}") for i in range(len(grams))))
-
-
-def _lookup(query, grams: list[str]) -> Column:
-    if query[0] == "gram":
-        return F.col(f"g{grams.index(query[1])}")
-    parts = [_lookup(q, grams) for q in query[1:]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = F.array_intersect(out, p) if query[0] == "and" else F.array_union(out, p)
-    return out
-
-
-def _tagged(rule: int):
-    return lambda key: F.struct(key.alias("key"), F.lit(1 << rule).cast("bigint").alias("mask"))
+    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(grams))))
+    return docs.select(row_key().alias("key"), held.alias("held")).select(F.explode("held").alias("gram"), "key").distinct()
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...], block_rows: int = BLOCK_ROWS) -> DataFrame:
+def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(key, mask): the rows that a rule's query finds; bit i of mask for rule i."""
-    asked = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not True}
-    grams = sorted(set().union(*map(_leaves, asked.values())))
+    asked = [(i, grams) for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not True for grams in alternatives(q)]
+    grams = sorted(set().union(*(g for _, g in asked)))
     if not grams:
         return docs.select(row_key().alias("key"), F.lit(0).cast("bigint").alias("mask")).where("false")
-    index = build_index(docs, grams, block_rows)
-    found = F.flatten(F.array(*(F.transform(_lookup(q, grams), _tagged(i)) for i, q in asked.items())))
-    return index.select(F.inline(found)).groupBy("key").agg(F.bit_or("mask").alias("mask"))
+    postings = build_index(docs, grams)
+    # the lists of an alternative's trigrams are intersected: a row is in all of them if it comes up as often as there are lists
+    user = F.array(*(F.array(*(F.lit(a) for a, (_, g) in enumerate(asked) if gram in g)) for gram in grams))
+    size = F.array(*(F.lit(len(g)) for _, g in asked))
+    bit = F.array(*(F.lit(1 << i).cast("bigint") for i, _ in asked))
+    met = postings.select(F.explode(F.element_at(user, F.col("gram") + 1)).alias("asked"), "key").groupBy("key", "asked").agg(F.count("*").alias("n"))
+    met = met.where(F.col("n") == F.element_at(size, F.col("asked") + 1))
+    return met.groupBy("key").agg(F.bit_or(F.element_at(bit, F.col("asked") + 1)).alias("mask"))
 
 
 def _rule_spans(rule: Rule, order: int, text: Column) -> Column:
@@ -228,11 +224,11 @@ def _rule_spans(rule: Rule, order: int, text: Column) -> Column:
     return F.when(F.rlike(text, pattern), walked).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
 
-def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of ``keep`` and found, an array of structs (start, kind, end) for each rule."""
     source = docs.select(*dict.fromkeys((*keep, "doc_id", "text"))).withColumn("_key", row_key())
     asked = [trigram_query(r.pattern) is not True for r in rules]
-    mask = candidates(docs, rules, block_rows).select(F.col("key").alias("_key"), F.col("mask").alias("_mask"))
+    mask = candidates(docs, rules).select(F.col("key").alias("_key"), F.col("mask").alias("_mask"))
     joined = source.join(mask, "_key", "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     text = F.coalesce("text", F.lit(""))
@@ -246,20 +242,20 @@ def _joined(found: Column, kinds: list[str]) -> Column:
     return F.array_join(told, ",")
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_<kind> of each base kind, base_sha256 and spans of every row."""
     kinds = [r.kind for r in rules]
     base = [i for i, r in enumerate(rules) if r.base]
-    found = spans(docs, rules, block_rows)
+    found = spans(docs, rules)
     counts = [F.size(F.col("found")[i]).cast("bigint").alias(f"n_{kinds[i]}") for i in base]
     digest = F.sha2(_joined(F.flatten(F.array(*(F.col("found")[i] for i in base))), kinds), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, _joined(F.flatten("found"), kinds).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
     """The columns of docs, with every span of text put out: overlapping spans become one mark. n_chars follows, if it is there."""
     columns = tuple(docs.columns)
-    found = spans(docs, rules, block_rows, keep=columns)
+    found = spans(docs, rules, keep=columns)
     ordered = F.array_sort(F.flatten("found"))
     piece = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
     walked = F.aggregate(
