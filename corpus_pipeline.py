@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfold.llm import jaccard_trie, langid
+from skyfold.llm import decontaminate, jaccard_trie, langid, queries, secrets, sentencepiece_viterbi
 from skyfold.llm._io import cut
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,7 +26,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(lose, "doc_id", "left_anti").select(*DOCUMENT)
 
 
-STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window that is a benchmark item or nearly so."""
+    docs = docs.select(*DOCUMENT)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contamination(docs, benchmark, shingle=5, percent=80)
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*DOCUMENT)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets put out."""
+    return secrets.redact(docs.select(*DOCUMENT))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and the ids of the text."""
+    vocabulary = sentencepiece_viterbi.Vocabulary.load(f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    return sentencepiece_viterbi.encode(docs, vocabulary, keep=("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("SentencePiece encoding and decoding", encoding),
+]
 ORACLE_SQL = None
 
 
