@@ -47,7 +47,7 @@ U64 = np.uint64
 #: The most representatives, and the most shingles, of one part of a cluster.
 BUNDLE_SETS, BUNDLE_SHINGLES = 2_000, 2_000_000
 #: Sets that share a band are compared by sketch, each with each, if they are up to so many.
-PLACE_PAIRS = 64
+PLACE_PAIRS = 12
 
 
 def shingle_sets(block: X.Block, k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
