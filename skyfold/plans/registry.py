@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from skyfold.plans import result_queries, spatial_queries
+
+QUERIES: dict = spatial_queries.QUERIES | result_queries.QUERIES
+ORACLE_SQL: dict[str, str] = spatial_queries.ORACLE_SQL | result_queries.ORACLE_SQL
