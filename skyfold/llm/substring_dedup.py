@@ -114,15 +114,54 @@ def _gather(batches: Iterator[pa.RecordBatch]):
     return cat(h, np.uint64), cat(row, np.int64), cat(at, np.int32), cat(ids, np.int64), cat(keys, np.int64), settled
 
 
-def _found(ids: np.ndarray, keys: np.ndarray, row: np.ndarray, value: np.ndarray, settled: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, found): the values of each document row."""
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True]))) if len(row) else np.empty(0, np.int64)
-    rows = [(int(ids[row[i]]), int(keys[row[i]]), value[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)] + settled
-    for i in range(0, len(rows), 5_000):
-        a, b, c = zip(*rows[i : i + 5_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["doc_id", "key", "found"])
+_FOUND = "part int, rows binary, at binary, ids binary, keys binary"
+
+
+def _deliver(n_out: int, ids: np.ndarray, keys: np.ndarray, row: np.ndarray, value: np.ndarray, settled: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Values of document rows, in a block for each part of the documents."""
+    if settled:
+        each = [np.frombuffer(x, value.dtype) for _, _, x in settled]
+        row = np.concatenate((row, np.repeat(np.arange(len(settled)) + len(ids), [len(x) for x in each])))
+        value = np.concatenate((value, *each))
+        ids = np.concatenate((ids, np.array([x[0] for x in settled], np.int64)))
+        keys = np.concatenate((keys, np.array([x[1] for x in settled], np.int64)))
+    part = (X.mix(ids.view(np.uint64)) % U64(n_out)).astype(np.int64)[row]
+    order = np.argsort(part, kind="stable")
+    row, value, part = row[order], value[order], part[order]
+    cuts = np.searchsorted(part, np.arange(n_out + 1))
+    for p in range(n_out):
+        i, j = cuts[p], cuts[p + 1]
+        if j > i:
+            used, local = np.unique(row[i:j], return_inverse=True)
+            columns = [[p], *([x.tobytes()] for x in (local.astype(np.int32), value[i:j], ids[used], keys[used]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["part", "rows", "at", "ids", "keys"])
+
+
+def _collected(found: DataFrame, dtype: type) -> DataFrame:
+    """(doc_id, key, found): one row for each document that has values, with all of them in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, value, ids, keys, n = [], [], [], [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                row.append(np.frombuffer(r["rows"], np.int32).astype(np.int64) + n)
+                value.append(np.frombuffer(r["at"], dtype))
+                ids.append(np.frombuffer(r["ids"], np.int64))
+                keys.append(np.frombuffer(r["keys"], np.int64))
+                n += len(ids[-1])
+        if not row:
+            return
+        name, which = np.unique(np.stack((np.concatenate(ids), np.concatenate(keys)), axis=1), axis=0, return_inverse=True)
+        row, value = which.ravel()[np.concatenate(row)], np.concatenate(value)
+        order = np.lexsort((value, row))
+        row, value = row[order], value[order]
+        cuts = np.searchsorted(row, np.arange(len(name) + 1))
+        for i in range(0, len(name), 5_000):
+            part = range(i, min(i + 5_000, len(name)))
+            blobs = [np.unique(value[cuts[k] : cuts[k + 1]]).tobytes() for k in part]
+            yield pa.RecordBatch.from_arrays([pa.array(name[part, 0]), pa.array(name[part, 1]), pa.array(blobs, pa.binary())], names=["doc_id", "key", "found"])
+
+    return found.repartition(partitions(found.sparkSession), "part").mapInArrow(run, "doc_id bigint, key bigint, found binary")
 
 
 def _groups(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,10 +205,10 @@ def _level_one(docs: DataFrame, length: int) -> DataFrame:
             h, row = h[order], row[order]
             low, high = _groups(h, ids[row])
             h, row = h[low != high], row[low != high]
-        yield from _found(ids, keys, row, h, settled)
+        yield from _deliver(n_out, ids, keys, row, h, settled)
 
     sent = docs.where("doc_id is not null").select("doc_id", "key", "text").mapInArrow(send, _SCHEMA)
-    return sent.repartition(n_out, "part").mapInArrow(compare, "doc_id bigint, key bigint, found binary")
+    return _collected(sent.repartition(n_out, "part").mapInArrow(compare, _FOUND), np.uint64)
 
 
 def _level_two(docs: DataFrame, candidates: DataFrame, length: int) -> DataFrame:
@@ -187,7 +226,7 @@ def _level_two(docs: DataFrame, candidates: DataFrame, length: int) -> DataFrame
                 for i in range(len(block)):
                     a, b = first[i], first[i + 1]
                     if b > a:
-                        kept = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in alive[block.first + i].as_py()]))
+                        kept = np.frombuffer(alive[block.first + i].as_py(), np.uint64)
                         keep[a:b] = kept[np.minimum(np.searchsorted(kept, level.least[a:b]), len(kept) - 1)] == level.least[a:b]
                 h, row = level.full()[keep], level.doc[keep]
                 at = (level.at[keep] - level.words.first[row]).astype(np.int32)
@@ -207,11 +246,10 @@ def _level_two(docs: DataFrame, candidates: DataFrame, length: int) -> DataFrame
             low, _ = _groups(h, ids[row])
             lost = ids[row] > low
             row, at = row[lost], at[lost]
-        yield from _found(ids, keys, row, at, settled)
+        yield from _deliver(n_out, ids, keys, row, at, settled)
 
-    joined = docs.join(candidates.groupBy("doc_id", "key").agg(F.collect_list("found").alias("alive")), ["doc_id", "key"])
-    sent = joined.select("doc_id", "key", "text", "alive").mapInArrow(send, _SCHEMA)
-    return sent.repartition(n_out, "part").mapInArrow(compare, "doc_id bigint, key bigint, found binary")
+    sent = docs.join(candidates, ["doc_id", "key"]).select("doc_id", "key", "text", "found").mapInArrow(send, _SCHEMA)
+    return _collected(sent.repartition(n_out, "part").mapInArrow(compare, _FOUND), np.int32)
 
 
 def substring_dedup(docs: DataFrame, length: int = 50, with_text: bool = False) -> DataFrame:
@@ -219,7 +257,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, with_text: bool = False)
     if length < 2:
         raise ValueError("length must be 2 or more")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    lost = _level_two(docs, _level_one(docs, length), length).groupBy("doc_id", "key").agg(F.collect_list("found").alias("lost"))
+    lost = _level_two(docs, _level_one(docs, length), length).withColumnRenamed("found", "lost")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +268,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, with_text: bool = False)
                 words = (text.as_py() or "").encode().split()
                 n_words.append(len(words))
                 if found.is_valid:
-                    starts = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in found.as_py()])).astype(np.int64)
+                    starts = np.frombuffer(found.as_py(), np.int32).astype(np.int64)
                     gone = X.covered(len(words), starts, length)
                     words = [words[i] for i in np.flatnonzero(~gone)]
                 n_removed.append(n_words[-1] - len(words))
