@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from skyfold.plans import result_queries, spatial_queries
+from skyfold.plans import kernel_queries, result_queries, spatial_queries
 
-QUERIES: dict = spatial_queries.QUERIES | result_queries.QUERIES
-ORACLE_SQL: dict[str, str] = spatial_queries.ORACLE_SQL | result_queries.ORACLE_SQL
+_PARTS = (spatial_queries, result_queries, kernel_queries)
+QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: sql for part in _PARTS for k, sql in part.ORACLE_SQL.items()}
