@@ -183,9 +183,10 @@ def row_key() -> Column:
 
 def build_index(docs: DataFrame, grams: list[str]) -> DataFrame:
     """The postings (gram, key): a row for each row of docs and each of the trigrams that it holds, gram its place in the list."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(grams))))
-    return docs.select(row_key().alias("key"), held.alias("held")).select(F.explode("held").alias("gram"), "key").distinct()
+    low = docs.select(row_key().alias("key"), F.lower("text").alias("low"))
+    held = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(g)), F.lit(i)) for i, g in enumerate(grams))))
+    # explode_outer: for explode, Spark would compute the array once more to filter rows by its size
+    return low.select(F.explode_outer(held).alias("gram"), "key").where("gram is not null").distinct()
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
