@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLE_SQL  # noqa: F401
 from . import decontaminate, jaccard_trie, langid, pii_crf, quality_gbt, repetition, secrets, sentencepiece_viterbi, substring_dedup, token_count
 
 #: Where the public tokenizers' files are.
@@ -82,4 +83,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_language_id, op2_token_counts, op3_quality, op4_sentencepiece, op5_repetition, op6_jaccard_components, op7_decontamination, op8_substring_dedup, op9_secrets, op10_pii)
 }
-ORACLE_SQL: dict[str, str] = {}
+
