@@ -17,7 +17,7 @@ _SCHEMA = (
 def parse_poslist(text: Column) -> Column:
     """Array of structs (x, y, z); an error if the numbers are no triples."""
     n = F.transform(F.array_remove(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), ""), lambda v: v.cast("double"))
-    triples = F.transform(F.sequence(F.lit(0), F.size(n) / 3 - 1), lambda i: F.struct(*(F.element_at(n, (3 * i + k + 1).cast("int")).alias(c) for k, c in enumerate("xyz"))))
+    triples = F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / 3).cast("int") - 1), lambda i: F.struct(*(F.element_at(n, (3 * i + k + 1).cast("int")).alias(c) for k, c in enumerate("xyz"))))
     bad = F.raise_error(F.concat(F.lit("posList length "), F.size(n).cast("string"), F.lit(" is not a multiple of 3")))
     none = F.array().cast("array<struct<x:double,y:double,z:double>>")
     return F.when(F.size(n) % 3 != 0, bad.cast("array<struct<x:double,y:double,z:double>>")).when(F.size(n) == 0, none).otherwise(triples)

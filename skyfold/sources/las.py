@@ -158,6 +158,7 @@ class LasSource(DataSource):
 
 def read_points(spark: SparkSession, path: str, records: int = 2_000_000) -> DataFrame:
     spark.dataSource.register(LasSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("las").option("records", records).load(path)
 
 

@@ -72,7 +72,7 @@ def test_detection_edges():
 
 
 def test_a_failed_outline_is_a_row(spark):
-    rows = [(1, i, float(i % 9), float(i // 9), 5.0) for i in range(200)] + [(2, 0, float("inf"), 0.0, 0.0)] * 60
+    rows = [(1, i, (i % 9) / 2, (i // 9) / 2, 5.0) for i in range(200)] + [(2, 0, float("inf"), 0.0, 0.0)] * 60
     out = {(r.fid, r.plane_index): r for r in planes.detect_planes(spark.createDataFrame(rows, "fid int, pid int, x double, y double, z double"), "fid").collect()}
     assert (1, 0) in out and out[1, 0].n_points == 200 and out[2, -1].reason
 

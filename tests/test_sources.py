@@ -5,6 +5,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skyfold.sources import archive, citygml, config, footprints, las, sinks
 from skyfold.streaming import incremental
@@ -49,7 +50,7 @@ def test_citygml(spark, tmp_path):
     s = citygml.roof_surfaces(b).collect()
     assert len(s) == 1 and s[0].area_m2 == 12.0 and s[0].slope_deg == 0.0 and s[0].surface_id == "r1"
     with pytest.raises(Exception, match="multiple of 3"):
-        spark.sql("select '1 2 3 4' t").select(citygml.parse_poslist(spark.sql("select 1").selectExpr("1").columns and __import__("pyspark").sql.functions.col("t"))).collect()
+        spark.sql("select '1 2 3 4' t").select(citygml.parse_poslist(F.col("t"))).collect()
 
 
 def shapefile(rings, rows):
@@ -144,7 +145,6 @@ def test_exports(spark, tmp_path):
 
 def test_reports(spark):
     from skyfold.plans.scene import Scene
-    from pyspark.sql import functions as F
 
     r = Scene(spark, "/root/testdata/sf0.001").results
     text = sinks.breakdown_report(r, "Area")
