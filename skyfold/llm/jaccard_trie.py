@@ -10,8 +10,8 @@ A document is the set of its word shingles. Two sets link when
    bands and sends (band digest, document) in binary blocks; sets that share a band
    meet. e makes up for empty bands, which are sent only by the few sets that have
    more of them than e, so no linked pair is lost. Pairs that meet are dropped where
-   parity sketches prove that they differ in more than d shingles; in a place where
-   many meet none is dropped, and all are tied to its first.
+   parity sketches prove that they differ in more than d shingles (``Place``): a number
+   of edges in proportion to the sets is kept, and none of a pair that may link is lost.
 3. *Join.* Documents that meet, directly or through others, form a cluster. One
    representative of each distinct set goes to its cluster's task; a cluster larger
    than a bundle is split and every two parts meet in a task of their own. There the
@@ -46,8 +46,8 @@ from .components import components
 U64 = np.uint64
 #: The most representatives, and the most shingles, of one part of a cluster.
 BUNDLE_SETS, BUNDLE_SHINGLES = 2_000, 2_000_000
-#: Sets that share a band are compared by sketch, each with each, if they are up to so many.
-PLACE_PAIRS = 12
+#: Sets that share a band are compared by sketch, each with each if they are up to so many, else by leaders, up to so many.
+PLACE_PAIRS, PLACE_LEADERS = 12, 2_000
 
 
 def shingle_sets(block: X.Block, k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -138,14 +138,79 @@ def sketch(h: np.ndarray) -> bytes:
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
 
-def may_link(n: int, m: int, x: bytes, y: bytes, percent: int) -> bool:
-    """False only if sets of n and m shingles with these sketches cannot link."""
-    if min(n, m) * 100 < percent * max(n, m):
-        return False
-    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    size = min(len(x), len(y))
-    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
-    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (100 - percent) * (n + m)
+def most_apart(n, m, percent: int):
+    """The most shingles in which sets of n and m can differ and still link."""
+    return (100 - percent) * (n + m) // (100 + percent)
+
+
+def fold(x: bytes, size: int) -> np.ndarray:
+    """A sketch folded to so many bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0)
+
+
+class Place:
+    """Sets that share a band, of which a few edges are kept that tie all pairs that may link.
+
+    Up to PLACE_PAIRS sets are compared each with each. Of more, leaders are kept: a set within
+    reach of the nearest leader is tied to it, any other is a leader. Distances of sketches obey
+    the triangle inequality, so sets of two leaders can link only if the leaders are no further
+    apart than their sets reach and a link allows; such leaders are tied. With more than
+    PLACE_LEADERS leaders all sets are tied to the first. Sets must come by size of sketch.
+    """
+
+    def __init__(self, percent: int):
+        self.percent, self.held, self.edges = percent, [], []
+        self.ids: list[int] | None = None
+
+    def add(self, rep: int, n: int, drawn: bytes) -> None:
+        if self.ids is None:
+            self.held.append((rep, n, drawn))
+            if len(self.held) > PLACE_PAIRS:
+                first, self.ids = self.held, []
+                self.size = len(first[0][2])
+                self.marks, self.sizes, self.reach = np.empty((16, self.size), np.uint8), np.empty(16, np.int64), np.zeros(16, np.int64)
+                self.largest = 0
+                for x in first:
+                    self._lead(*x)
+                self.held = first[:1]
+        else:
+            self._lead(rep, n, drawn)
+
+    def _lead(self, rep: int, n: int, drawn: bytes) -> None:
+        self.largest = max(self.largest, n)
+        k = len(self.ids)
+        if k > PLACE_LEADERS:
+            self.edges.append((self.ids[0], rep))
+            return
+        mark = fold(drawn, self.size)
+        if k:
+            apart = np.bitwise_count(self.marks[:k] ^ mark).sum(axis=1, dtype=np.int64)
+            best = int(apart.argmin())
+            if apart[best] <= most_apart(self.sizes[best], n, self.percent):
+                self.reach[best] = max(self.reach[best], apart[best])
+                self.edges.append((self.ids[best], rep))
+                return
+        if k == len(self.marks):
+            self.marks, self.sizes, self.reach = (np.concatenate((x, np.zeros_like(x))) for x in (self.marks, self.sizes, self.reach))
+        self.marks[k], self.sizes[k], self.reach[k] = mark, n, 0
+        self.ids.append(rep)
+
+    def close(self) -> list[tuple[int, int]]:
+        """The edges."""
+        if self.ids is None:
+            for i, (b, m, y) in enumerate(self.held):
+                for a, n, x in self.held[:i]:
+                    size = min(len(x), len(y))
+                    if min(n, m) * 100 >= self.percent * max(n, m) and int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()) <= most_apart(n, m, self.percent):
+                        self.edges.append((a, b))
+        elif len(self.ids) > PLACE_LEADERS:
+            self.edges += [(self.ids[0], x) for x in self.ids[1:]]
+        else:
+            k, link = len(self.ids), most_apart(self.largest, self.largest, self.percent)
+            for i in range(1, k):
+                apart = np.bitwise_count(self.marks[:i] ^ self.marks[i]).sum(axis=1, dtype=np.int64)
+                self.edges += [(self.ids[j], self.ids[i]) for j in np.flatnonzero(apart <= self.reach[:i] + self.reach[i] + link)]
+        return self.edges
 
 
 def _sizes(docs: DataFrame, k: int) -> DataFrame:
@@ -209,61 +274,34 @@ def _meetings(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return dealt.repartition(n_out, "part").mapInArrow(meet, "place bigint, doc_id bigint").distinct()
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """(a, b, sure) of (place, rep): all pairs of a place of up to PLACE_PAIRS sets; of a larger one its
-    first set with each other, sure to be kept so that all of the place stay in one cluster."""
+def _likely(met: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that tie the sets of (place, rep, n_shingles, sketch) that may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held, star = None, [], False
-        a, b, sure = [], [], []
-
-        def close() -> None:
-            if not star:
-                for i in range(len(held)):
-                    for j in range(i):
-                        a.append(held[j]), b.append(held[i]), sure.append(False)
+        name, place, edges = None, None, []
 
         def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
-            a.clear(), b.clear(), sure.clear()
-            return got
+            got = np.unique(np.array(edges, np.int64).reshape(-1, 2), axis=0)
+            edges.clear()
+            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            for p, rep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if p != place:
-                    close()
-                    place, held, star = p, [], False
-                if star:
-                    a.append(held[0]), b.append(rep), sure.append(True)
-                else:
-                    held.append(rep)
-                    if len(held) > PLACE_PAIRS:
-                        star = True
-                        for x in held[1:]:
-                            a.append(held[0]), b.append(x), sure.append(True)
-                        del held[1:]
-                if len(a) >= 50_000:
+            for p, rep, n, drawn in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if p != name:
+                    if place is not None:
+                        edges += place.close()
+                    name, place = p, Place(percent)
+                place.add(rep, n, drawn)
+                if len(place.edges) + len(edges) >= 50_000:
+                    edges += place.edges
+                    place.edges = []
                     yield out()
-        close()
+        if place is not None:
+            edges += place.close()
         yield out()
 
-    met = met.repartition(partitions(met.sparkSession), "place").sortWithinPartitions("place", "rep")
-    return met.mapInArrow(run, "a bigint, b bigint, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
-
-
-def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are sure or whose sketches allow a link."""
-    left = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("x"))
-    right = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("m"), F.col("sketch").alias("y"))
-    told = pairs.where("not sure").join(left, "a").join(right, "b").where(f"least(n, m) * 100 >= {percent} * greatest(n, m)")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
-            keep = pa.array([may_link(*z, percent) for z in zip(n, m, x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return told.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a bigint, b bigint").unionByName(pairs.where("sure").select("a", "b"))
+    met = met.repartition(partitions(met.sparkSession), "place").sortWithinPartitions("place", F.octet_length("sketch"), "rep")
+    return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 class Trie:
@@ -384,8 +422,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, bun
     copies = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     # documents that share a band, as their sets' representatives
     met = _meetings(docs, shingle, percent).join(member.select("doc_id", "rep").distinct(), "doc_id").select("place", "rep").distinct()
-    reps = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"))
-    cluster = components(_likely(_pairs(met), reps, percent))
+    drawn = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")).select("rep", "n_shingles", "sketch")
+    cluster = components(_likely(met.join(drawn, "rep").select("place", "rep", "n_shingles", "sketch"), percent))
     rep = member.where("doc_id = rep").select("rep", "n_shingles").distinct().join(cluster.withColumnRenamed("node", "rep"), "rep")
     width = rep.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total")).where("sets > 1")
     width = width.select("component", F.greatest(F.ceil(F.col("sets") / bundle_sets), F.ceil(F.col("total") / bundle_shingles)).cast("int").alias("n_parts"))

@@ -58,6 +58,9 @@ def test_jaccard_components(spark, bundle):
     rows = near_copies(bundle)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_trie.jaccard_components(frame(spark, rows), bundle_sets=bundle).collect()}
     assert got == brute.jaccard_components(rows)
+    if bundle == 5:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_trie.jaccard_components(frame(spark, rows), 5, 80, bundle_sets=7).collect()}
+        assert got == brute.jaccard_components(rows, 5, 80)
 
 
 def test_jaccard_edges(spark):
@@ -67,15 +70,33 @@ def test_jaccard_edges(spark):
     assert jaccard_trie.jaccard_components(frame(spark, rows).where("false")).count() == 0
 
 
-def test_sketches_never_rule_out_a_link():
-    r = np.random.default_rng(1)
-    for _ in range(200):
-        x = np.unique(r.integers(0, 2**63, r.integers(1, 400)).astype(np.uint64))
-        y = np.unique(np.concatenate((x[r.random(len(x)) > 0.08], r.integers(0, 2**63, r.integers(0, 8)).astype(np.uint64))))
-        if len(y):
-            common = len(np.intersect1d(x, y))
-            links = 100 * common >= 85 * (len(x) + len(y) - common)
-            assert not links or jaccard_trie.may_link(len(x), len(y), jaccard_trie.sketch(x), jaccard_trie.sketch(y), 85)
+@pytest.mark.parametrize("pairs, leaders", [(12, 2000), (3, 2000), (3, 2)])
+def test_places_lose_no_link(monkeypatch, pairs, leaders):
+    monkeypatch.setattr(jaccard_trie, "PLACE_PAIRS", pairs)
+    monkeypatch.setattr(jaccard_trie, "PLACE_LEADERS", leaders)
+    r = np.random.default_rng(pairs + leaders)
+    for _ in range(20):
+        bases = [np.unique(r.integers(0, 2**63, r.integers(2, 200)).astype(np.uint64)) for _ in range(4)]
+        sets = []
+        for _ in range(25):
+            x = bases[r.integers(4)]
+            sets.append(np.unique(np.concatenate((x[r.random(len(x)) > 0.07], r.integers(0, 2**63, r.integers(1, 6)).astype(np.uint64)))))
+        place, root = jaccard_trie.Place(85), list(range(len(sets)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i in sorted(range(len(sets)), key=lambda i: len(jaccard_trie.sketch(sets[i]))):
+            place.add(i, len(sets[i]), jaccard_trie.sketch(sets[i]))
+        for a, b in place.close():
+            root[find(a)] = find(b)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                common = len(np.intersect1d(x, y))
+                if 100 * common >= 85 * (len(x) + len(y) - common):
+                    assert find(i) == find(j)
 
 
 def test_components(spark):
