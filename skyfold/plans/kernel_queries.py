@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfold.operators import extrude, planes
+from skyfold.operators import extrude, partition, planes
 from skyfold.plans.scene import Scene
 
 QUERIES: dict = {}
@@ -32,13 +32,11 @@ def detect_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reconstructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for every outline, with why it has no planes where it has none."""
+    """Planes, partition and solid of every outline, a row for each, failures too."""
     s = Scene(spark, sf_dir)
-    points = local_points(s)
-    found = planes.detect_planes(points, "fid").groupBy("fid").agg(F.count_if(F.col("plane_index") >= 0).alias("n_planes"), F.max("reason").alias("reason"))
-    out = s.sql("footprints").select("fid").join(points.groupBy("fid").agg(F.count("*").alias("n_points")), "fid", "left").join(found, "fid", "left").fillna(0, ["n_points", "n_planes"])
-    status = F.when(F.col("reason").isNotNull(), "error").when(F.col("n_points") < 50, "too-few-points").when(F.col("n_planes") == 0, "no-planes").otherwise("ok")
-    return out.withColumn("status", status)
+    shape = s.footprints.select("fid", F.transform("ring", lambda p: F.struct(((p.x - F.col("ox")) / 1000).alias("x"), ((p.y - F.col("oy")) / 1000).alias("y"))).alias("ring"), F.lit(30.0).alias("ground_z"))
+    out = partition.reconstruct_all(shape, local_points(s), "fid")
+    return out.withColumn("volume_m3", F.round("volume_m3", 6))
 
 
 @query

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skyfold.functions import geo, overlay
-from skyfold.operators import extrude, planes
+from skyfold.operators import extrude, partition, planes, topology
 
 
 def box(x0, y0, x1, y1):
@@ -112,3 +112,64 @@ def test_triangles_cover_a_polygon_with_a_hole():
     pts = np.vstack((outer, hole))
     t = extrude.triangulate([outer, hole])
     assert math.isclose(sum(abs(extrude._area(pts[k])) for k in t), 15) and len(t) == 8
+
+
+L_SHAPE = [np.array([(0, 0), (10, 0), (10, 4), (5, 4), (5, 8), (0, 8)], float)]
+
+
+def roof_points(height, seed=1, n=6000, size=(10, 8)):
+    r = np.random.default_rng(seed)
+    x, y = r.uniform(0, size[0], n), r.uniform(0, size[1], n)
+    keep = np.array([partition.inside(L_SHAPE, p) for p in np.stack((x, y), 1)]) if height is None else np.ones(n, bool)
+    z = (6 + 0 * x if height is None else height(x, y)) + r.normal(0, 0.02, n)
+    return np.stack((x, y, z), 1)[keep]
+
+
+def test_convex_pieces_are_an_exact_partition():
+    pieces = partition.convex_pieces(L_SHAPE)
+    assert math.isclose(sum(abs(extrude._area(p)) for p in pieces), 60)
+    holed = [np.array([(0, 0), (9, 0), (9, 9), (0, 9)], float), np.array([(3, 3), (6, 3), (6, 6), (3, 6)], float)]
+    assert math.isclose(sum(abs(extrude._area(p)) for p in partition.convex_pieces(holed)), 72)
+
+
+def test_a_gable_is_reconstructed():
+    box = [np.array([(0, 0), (10, 0), (10, 8), (0, 8)], float)]
+    row = partition.reconstruct(box, roof_points(lambda x, y: 6 + np.minimum(y, 8 - y) / 2), 0.0)
+    assert row["status"] == "ok" and row["n_planes"] == 2 and row["n_faces"] == 2 and abs(row["volume_m3"] - 560) < 3
+
+
+def test_a_step_and_a_hip_are_reconstructed():
+    box = [np.array([(0, 0), (10, 0), (10, 8), (0, 8)], float)]
+    hip = partition.reconstruct(box, roof_points(lambda x, y: 6 + np.minimum(np.minimum(y, 8 - y), np.minimum(x, 10 - x)) * 0.6, n=9000), 0.0)
+    assert hip["status"] == "ok" and hip["n_planes"] == 4 and hip["n_faces"] == 4
+    flat_l = partition.reconstruct(L_SHAPE, roof_points(None), 0.0)
+    assert flat_l["status"] == "ok" and flat_l["n_faces"] == 1 and abs(flat_l["volume_m3"] - 360) < 2
+
+
+def test_outlines_that_fail_are_told(spark):
+    f = spark.createDataFrame([(1, [{"x": 0.0, "y": 0.0}, {"x": 4.0, "y": 0.0}, {"x": 4.0, "y": 4.0}], 0.0), (2, [], 0.0)], "fid int, ring array<struct<x:double,y:double>>, ground_z double")
+    p = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0)] + [(2, i, (i % 9) / 2, (i // 9) / 2, 5.0) for i in range(99)] + [(7, 1, 0.0, 0.0, 0.0)], "fid int, pid int, x double, y double, z double")
+    got = {r.fid: r.status for r in partition.reconstruct_all(f, p, "fid").collect()}
+    assert got == {1: "too-few-points", 2: "error"}
+
+
+def test_planes_are_refined_together():
+    box = [np.array([(0, 0), (10, 0), (10, 8), (0, 8)], float)]
+    pts = roof_points(lambda x, y: 6 + np.minimum(y, 8 - y) / 2)
+    found = planes.detect(pts)
+    got = topology.refine(pts, found, box)
+    assert got.status == "ok" and [r[2] for r in got.relations] == ["ridge"]
+    before = abs(planes.slope_degrees(found[0][0]) - planes.slope_degrees(found[1][0]))
+    assert abs(planes.slope_degrees(got.planes[0]) - planes.slope_degrees(got.planes[1])) <= before + 1e-9
+    line = partition.level_line(*got.planes)
+    assert abs(line[0]) < 2e-3 and abs(line[2] / line[1] - 4) < 0.05
+
+
+def test_a_pyramid_meets_in_one_corner():
+    box = [np.array([(0, 0), (8, 0), (8, 8), (0, 8)], float)]
+    pts = roof_points(lambda x, y: 6 + np.minimum(np.minimum(y, 8 - y), np.minimum(x, 8 - x)) * 0.6, n=8000, size=(8, 8))
+    got = topology.refine(pts, planes.detect(pts), box)
+    assert got.status == "ok" and len(got.planes) == 4 and got.corners == [(0, 1, 2, 3)]
+    heights = [(p[3] - p[:2] @ [4, 4]) / p[2] for p in got.planes]
+    assert np.ptp(heights) < 0.03 and abs(np.mean(heights) - 8.4) < 0.05
+    assert topology.refine(pts, [], box).status == "ok"
