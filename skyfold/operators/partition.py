@@ -143,10 +143,12 @@ def reconstruct(outline: list[np.ndarray], points: np.ndarray, ground: float, pl
     row = {"status": "ok", "reason": None, "n_points": len(points), "n_planes": 0, "n_faces": 0, "volume_m3": None}
     if len(points) < p.min_points:
         return row | {"status": "too-few-points", "reason": f"{len(points)} points, {p.min_points} needed"}
+    origin = np.asarray(outline[0], float)[0]
+    outline, points = [np.asarray(r, float) - origin for r in outline], points - [*origin, 0.0]  # northings are in the millions
     found = planes.detect(points, planes_params)
     if not found:
         return row | {"status": "no-planes", "reason": "no plane found"}
-    solved = topology.refine(points, found, [np.asarray(r, float) for r in outline])
+    solved = topology.refine(points, found, outline)
     if solved.status != "ok":
         return row | {"status": "solver-failed", "reason": solved.reason, "n_planes": len(found)}
     found = [(plane, rows) for plane, (_, rows) in zip(solved.planes, found, strict=True)]

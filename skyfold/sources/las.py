@@ -1,8 +1,10 @@
 """The ``las`` data source: classified points of LAS files, split by record ranges.
 
 ``spark.read.format("las").load(path)``: path names a file or a folder (``spark.dataSource
-.register(LasSource)`` first). Options: ``records`` a partition. Filters on class and
-coordinates are applied to the records before they leave the reader.
+.register(LasSource)`` first). Options: ``records`` a partition, ``classes`` (comma-separated)
+and ``bbox`` (xmin,ymin,xmax,ymax, bounds included), by which records are dropped before they
+leave the reader and files by their headers. These are options, not pushed filters: Spark 4.1
+keeps what was pushed with the source, so two branches of one frame would share their filters.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "tile string, point_id bigint, x double, y double, z double, classification tinyint"
 
@@ -102,15 +104,8 @@ class LasReader(DataSourceReader):
         path = options["path"].removeprefix("file://")
         self.paths = sorted(os.path.join(path, f) for f in os.listdir(path) if f.lower().endswith(".las")) if os.path.isdir(path) else [path]
         self.records = int(options.get("records", 2_000_000))
-        self.tests: list[tuple[str, str, object]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        kinds = {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", In: "in"}
-        for f in filters:
-            name = getattr(f, "attribute", ())
-            if type(f) in kinds and name and name[0] in ("x", "y", "z", "classification"):
-                self.tests.append((name[0], kinds[type(f)], f.value))
-            yield f  # Spark tests again: what is dropped here is dropped early, no more
+        self.classes = [int(c) for c in options["classes"].split(",")] if options.get("classes") else None
+        self.bbox = [float(v) for v in options["bbox"].split(",")] if options.get("bbox") else None
 
     def partitions(self) -> list[InputPartition]:
         out = []
@@ -122,8 +117,7 @@ class LasReader(DataSourceReader):
 
     def _outside(self, h: LasHeader) -> bool:
         """Whether the bounds in the header rule the whole file out."""
-        box = {"x": (h.xmin, h.xmax), "y": (h.ymin, h.ymax), "z": (h.zmin, h.zmax)}
-        return any(n in box and ((op in (">", ">=") and box[n][1] < v) or (op in ("<", "<=") and box[n][0] > v)) for n, op, v in self.tests)
+        return self.bbox is not None and (h.xmax < self.bbox[0] or h.ymax < self.bbox[1] or h.xmin > self.bbox[2] or h.ymin > self.bbox[3])
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         header = read_header(part.path)
@@ -134,10 +128,9 @@ class LasReader(DataSourceReader):
         if len(raw) < part.count * header.record_bytes:
             raise ValueError(f"{part.path}: the file ends before its last record")
         xyz, cls = decode(raw, header)
-        keep = np.ones(len(cls), bool)
-        for name, op, v in self.tests:
-            c = cls if name == "classification" else xyz[:, "xyz".index(name)]
-            keep &= np.isin(c, v) if op == "in" else {"==": c == v, ">": c > v, ">=": c >= v, "<": c < v, "<=": c <= v}[op]
+        keep = np.isin(cls, self.classes) if self.classes is not None else np.ones(len(cls), bool)
+        if self.bbox is not None:
+            keep &= ((xyz[:, :2] >= self.bbox[:2]) & (xyz[:, :2] <= self.bbox[2:])).all(1)
         at = np.flatnonzero(keep)
         for i in range(0, len(at), 100_000):
             k = at[i : i + 100_000]
@@ -156,10 +149,14 @@ class LasSource(DataSource):
         return LasReader(dict(self.options))
 
 
-def read_points(spark: SparkSession, path: str, records: int = 2_000_000) -> DataFrame:
+def read_points(spark: SparkSession, path: str, records: int = 2_000_000, classes: tuple[int, ...] | None = None, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
     spark.dataSource.register(LasSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("las").option("records", records).load(path)
+    reader = spark.read.format("las").option("records", records)
+    if classes is not None:
+        reader = reader.option("classes", ",".join(map(str, classes)))
+    if bbox is not None:
+        reader = reader.option("bbox", ",".join(map(str, bbox)))
+    return reader.load(path)
 
 
 def write_las(path: str, xyz: np.ndarray, cls: np.ndarray, scale: float = 0.001) -> None:

@@ -19,9 +19,9 @@ def test_las_is_read_in_ranges_with_filters(spark, tmp_path):
     las.write_las(str(tmp_path / "999-1_2015.las"), xyz[:10] + 1e6, cls[:10])
     df = las.read_points(spark, str(tmp_path), records=300)
     assert df.count() == 1010 and df.rdd.getNumPartitions() == 5
-    near = df.where("classification in (2, 6) and x < 292050")
-    want = ((cls != 1) & (xyz[:, 0] < 292050)).sum()
-    assert near.count() == want
+    near = las.read_points(spark, str(tmp_path), classes=(2, 6), bbox=(0, 0, 292050, 6e6))
+    want = ((cls != 1) & (xyz[:, 0] <= 292050)).sum()
+    assert near.count() == want and near.where("classification = 2").unionByName(near.where("classification = 6")).count() == want
     row = df.where("point_id = 5 and tile = '292-5035'").first()
     assert np.allclose([row.x, row.y, row.z], xyz[5], atol=5e-4) and row.classification == cls[5]
     h = las.read_header(str(tmp_path / "292-5035_2015.las"))
