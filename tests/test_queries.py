@@ -43,7 +43,18 @@ def test_entry_and_names(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["points_in_footprint", "eval_cells", "reference_surface", "assign_buildings"])
-def test_spatial_joins_are_equi_joins(spark, name):
-    plan = registry.QUERIES[name](spark, PATH)._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+def test_spatial_joins_are_equi_joins(spark):
+    from skyfold.operators import clip, spatial
+
+    edge = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
+    shapes = spark.createDataFrame([], f"fid int, edges {edge}")
+    points = spark.createDataFrame([], "pid int, x double, y double, z double, cls int")
+    faces = spark.createDataFrame([], f"fid int, edges {edge}, plane struct<nx:double,ny:double,nz:double,d:double>")
+    cells = spatial.cells_of(shapes, 0.5, 0.5)
+    joins = [
+        spatial.points_in_shapes(points, shapes, 20.0, 2.0), cells, spatial.surface(cells, faces, ["fid"], 20.0, "z"),
+        clip.overlaps(shapes.withColumnRenamed("edges", "edges_a"), shapes.withColumnsRenamed({"edges": "edges_b", "fid": "other"}), 20.0), clip.clip(points, shapes, 20.0, 2.0, 1.5),
+    ]
+    for df in joins:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
