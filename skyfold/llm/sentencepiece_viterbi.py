@@ -36,6 +36,8 @@ U64 = np.uint64
 SEPARATOR, LITERAL = 0x2581, 0x110000  # of the vocabulary; a U+2581 of the text
 #: Stretches of more characters than this are streamed.
 LONG = 40
+#: Bytes of texts that are encoded together: the more, the fewer words come up again.
+ENCODE_BYTES = 3 << 20
 _MERGED = -1e8  # pieces below this score are never part of a best path
 
 
@@ -191,14 +193,14 @@ class Encoder:
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(data))
         _, first, which = np.unique(X.span_hash(data, start, end), return_index=True, return_inverse=True)
-        codes, count = self._distinct(data, start[first], end[first])
-        begin = np.concatenate(([0], np.cumsum(count)))
+        codes, begin, count = self._distinct(data, start[first], end[first])
         n = count[which]
         at = np.concatenate(([0], np.cumsum(n)))
         flat = codes[np.arange(at[-1]) - np.repeat(at[:-1] - begin[which], n)]
         return self._spell_out(flat, at[np.searchsorted(start, offsets)])
 
-    def _distinct(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _distinct(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of all stretches, and where each one's begin and how many it has."""
         size = end - start
         inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         own = data[inside + np.repeat(start, size)]
@@ -209,18 +211,23 @@ class Encoder:
         edge = np.concatenate(([0], np.cumsum(size)))
         n = np.diff(lead[edge])
         at = lead[edge[:-1]]
-        found: list[np.ndarray] = [np.empty(0, np.int64)] * len(n)
-        for length in np.unique(n):
-            rows = np.flatnonzero(n == length)
+        begin, count = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        parts, total = [np.empty(0, np.int64)], 0
+        order = np.argsort(n, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(n[order])) + 1) if len(n) else []:
+            length = int(n[rows[0]])
             if length > LONG:
+                each = []
                 for r in rows:
                     stream = StreamingViterbi(self.v)
-                    found[r] = np.array([*stream.feed(points[at[r] : at[r] + length].tolist()), *stream.finish()], np.int64)
+                    each.append(np.array([*stream.feed(points[at[r] : at[r] + length].tolist()), *stream.finish()], np.int64))
+                flat, used = np.concatenate(each), np.array([len(x) for x in each])
             else:
                 flat, used = self._many(points[at[rows][:, None] + np.arange(length)])
-                for r, ids in zip(rows, np.split(flat, np.cumsum(used)[:-1]), strict=True):
-                    found[r] = ids
-        return np.concatenate([np.empty(0, np.int64), *found]), np.array([len(x) for x in found], np.int64)
+            begin[rows], count[rows] = total + np.cumsum(used) - used, used
+            parts.append(flat)
+            total += len(flat)
+        return np.concatenate(parts), begin, count
 
     def _spell_out(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fallbacks become the ids of their bytes."""
@@ -257,7 +264,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            for block in X.blocks(batch.column(len(keep))):
+            for block in X.blocks(batch.column(len(keep)), ENCODE_BYTES):
                 ids, at = encoder.encode(block)
                 data, edge = encoder.decode(ids, at)
                 same = np.diff(edge) == np.diff(block.offsets)
