@@ -110,10 +110,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, perce
     windows = found.groupBy("row", "n", "k", "start").agg(F.first("doc_id").alias("doc_id"), F.first("win").alias("win"))
     windows = windows.withColumn("sh", _shingles(F.col("win"), F.col("k"))).withColumn("fp", simhash(F.col("sh")))
     filed = items.withColumn("sh", _shingles(F.col("w"), F.col("k"))).withColumn("item_fp", simhash(F.col("sh")))
-    keys = filed.select("item_id", "item_fp", "n", "k", F.col("sh").alias("item_sh"), F.inline(_filed("item_fp")))
+    keys = filed.select("item_row", "item_fp", "n", "k", F.inline(_filed("item_fp")))
     asked = windows.select("row", "doc_id", "start", "n", "k", "fp", "sh", F.inline(_blocks("fp")))
     near = asked.join(keys, ["n", "k", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.groupBy("row", "doc_id", "start", "n", "k", "item_id", "item_fp").agg(F.first("sh").alias("sh"), F.first("item_sh").alias("item_sh"))
+    near = near.groupBy("row", "doc_id", "start", "n", "k", "item_row").agg(F.first("sh").alias("sh"))
+    near = near.join(filed.select("item_row", "item_id", F.col("sh").alias("item_sh")), "item_row")
     other = _counts(F.col("item_sh"))
     shared = F.aggregate(
         _counts(F.col("sh")),
