@@ -128,4 +128,5 @@ def token_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, end_id:
     write_token_files(docs, ranks, pattern, end_id, folder).write.parquet(places)
     placed = spark.read.parquet(places)
     counted = scan(placed.select("file", "n_bytes").distinct(), folder, end_id)
-    return placed.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # counted grows out of a few block summaries, whose size would pass for its own: it must not be broadcast
+    return placed.hint("merge").join(counted.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
