@@ -45,7 +45,7 @@ from .components import components
 
 U64 = np.uint64
 #: The most representatives, and the most shingles, of one part of a cluster.
-BUNDLE_SETS, BUNDLE_SHINGLES = 2_000, 2_000_000
+BUNDLE_SETS, BUNDLE_SHINGLES = 1_000, 2_000_000
 #: Sets that share a band are compared by sketch, each with each if they are up to so many, else by leaders, up to so many.
 PLACE_PAIRS, PLACE_LEADERS = 12, 2_000
 
