@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._io import cut, partitions
+from ._io import cut, partitions, release
 from .components import components
 
 U64 = np.uint64
@@ -424,6 +424,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, bun
     met = _meetings(docs, shingle, percent).join(member.select("doc_id", "rep").distinct(), "doc_id").select("place", "rep").distinct()
     drawn = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")).select("rep", "n_shingles", "sketch")
     cluster = components(_likely(met.join(drawn, "rep").select("place", "rep", "n_shingles", "sketch"), percent))
+    release(docs.sparkSession)  # the bands' blocks, before texts are dealt
     rep = member.where("doc_id = rep").select("rep", "n_shingles").distinct().join(cluster.withColumnRenamed("node", "rep"), "rep")
     width = rep.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total")).where("sets > 1")
     width = width.select("component", F.greatest(F.ceil(F.col("sets") / bundle_sets), F.ceil(F.col("total") / bundle_shingles)).cast("int").alias("n_parts"))
@@ -433,5 +434,6 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, bun
     texts = texts.select(F.col("component").alias("cluster"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "text")
     texts = texts.repartition(partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
     found = components(_bundles(texts, shingle, percent).unionByName(copies))
+    release(docs.sparkSession)
     out = sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
