@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -141,6 +142,44 @@ def test_contamination(spark):
     assert decontaminate.contamination(frame(spark, docs).where("false"), bench).count() == 0
 
 
+def all_windows(docs, items, shingle=5, percent=80):
+    """The best similarity of each pair over every start, aligned or not."""
+    best = {}
+    for i, t in docs:
+        w = brute.words((t or "").lower())
+        for j, b in items:
+            v = brute.words((b or "").lower())
+            n, k = len(v), min(len(v), shingle)
+            own = Counter(tuple(v[x : x + k]) for x in range(n - k + 1)) if n else Counter()
+            for start in range(max(0, len(w) - n) + 1) if n else ():
+                x = w[start : start + n]
+                there = Counter(tuple(x[y : y + k]) for y in range(len(x) - k + 1))
+                shared = sum((there & own).values())
+                union = sum(there.values()) + sum(own.values()) - shared
+                if shared and 100 * shared >= percent * union:
+                    best[i, j] = max(best.get((i, j), 0), shared / union)
+    return best
+
+
+def test_contamination_in_windows_with_all_shingles_displaced(spark):
+    r = random.Random(7)
+    items, docs = [], []
+    for j, size in enumerate([20, 25, 25, 30, 60]):
+        a, b = ([f"{x}{j}_{i}" for i in range(size)] for x in "ab")
+        items.append((j, " ".join(a + b)))
+        for before in (0, 3, 2 * size - 1, 5 * size):
+            docs.append((len(docs), " ".join([f"x{r.randrange(10**6)}" for _ in range(before)] + b + a + [f"y{r.randrange(10**6)}" for _ in range(r.choice([0, 7, 70]))])))
+    for j in range(5, 25):  # of few words, so that shingles repeat; parts change places
+        w = [r.choice("abc") for _ in range(r.choice([4, 9, 30, 50]))]
+        items.append((j, " ".join(w)))
+        cut = r.randrange(len(w))
+        docs.append((len(docs), " ".join([r.choice("abc") for _ in range(r.choice([0, 40]))] + w[cut:] + w[:cut] + [r.choice("abc") for _ in range(30)])))
+    expected = all_windows(docs, items)
+    assert {j for _, j in expected} >= {1, 2, 3, 4} and expected.keys() > {(i, j) for i, j, *_ in brute.contamination(docs, items)}
+    got = decontaminate.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): x.n_shared / x.n_union for x in got} == expected
+
+
 def test_multi_index_files_all_within_the_radius(spark):
     r = random.Random(2)
     pairs = []
