@@ -97,7 +97,7 @@ def reconstruct(tables: sinks.AreaTables, area: config.StudyArea, raw: str, limi
     roof = clip.clip(points, outlines, bin_size=20.0, margin=2.0, height=1.5)
     near = spatial.points_in_shapes(points, outlines, 20.0, 2.0)
     ground = near.groupBy("fid").agg(clip.floor_height("z", "cls").alias("ground_z"))
-    shaped = todo.select(F.col("footprint_id").alias("fid"), F.element_at("rings", 1).alias("ring")).join(ground, "fid", "left").fillna(0.0, ["ground_z"])
+    shaped = todo.select(F.col("footprint_id").alias("fid"), "rings").join(ground, "fid", "left").fillna(0.0, ["ground_z"])
     rows = partition.reconstruct_all(shaped, roof.select("fid", "pid", "x", "y", "z"), "fid", area.planes).withColumnRenamed("fid", "footprint_id").withColumn("run_id", F.lit(run_id))
     new = rows if done is None else done.unionByName(rows, allowMissingColumns=True)
     counts = tables.replace(area.name, {"reconstructions": new}, keep=("footprints", "reference_buildings", "reference_roof_surfaces"))

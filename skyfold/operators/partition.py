@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 from skyfold.operators import extrude, planes, topology
 
+FACES = "array<struct<face:int,plane_index:int,nx:double,ny:double,nz:double,d:double,rings:array<array<struct<x:double,y:double>>>>>"
 ADJACENT_M, ADJACENT_POINTS, LEAST_AREA_M2 = 0.75, 3, 1e-6
 
 
@@ -119,9 +120,12 @@ def partition(outline: list[np.ndarray], points: np.ndarray, found: list[tuple[n
     return out
 
 
-def count_faces(pieces: list[tuple[int, np.ndarray]]) -> int:
-    """Faces: pieces of one plane that share an edge are one."""
-    key = lambda p: (round(float(p[0]), 6), round(float(p[1]), 6))
+def _key(p: np.ndarray) -> tuple[float, float]:
+    return round(float(p[0]), 6), round(float(p[1]), 6)
+
+
+def _face_of(pieces: list[tuple[int, np.ndarray]]) -> list[int]:
+    """A number for each piece, the same for those of one face: pieces of one plane that share an edge."""
     by_edge: dict = {}
     root = list(range(len(pieces)))
 
@@ -132,15 +136,66 @@ def count_faces(pieces: list[tuple[int, np.ndarray]]) -> int:
 
     for i, (plane, ring) in enumerate(pieces):
         for a, b in zip(ring, np.roll(ring, -1, axis=0), strict=True):
-            j = by_edge.setdefault((plane, frozenset((key(a), key(b)))), i)
+            j = by_edge.setdefault((plane, frozenset((_key(a), _key(b)))), i)
             root[find(i)] = find(j)
-    return len({find(i) for i in range(len(pieces))})
+    return [find(i) for i in range(len(pieces))]
+
+
+def count_faces(pieces: list[tuple[int, np.ndarray]]) -> int:
+    """Faces: pieces of one plane that share an edge are one."""
+    return len(set(_face_of(pieces)))
+
+
+def outline_of(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """The rings around pieces that share whole edges: those about the outside first, counterclockwise, then the holes, clockwise."""
+    at, edges = {}, set()
+    for ring in rings:
+        ring = ring if extrude._area(ring) > 0 else ring[::-1]
+        for p, q in zip(ring, np.roll(ring, -1, axis=0), strict=True):
+            a, b = _key(p), _key(q)
+            at.setdefault(a, p)
+            if (b, a) in edges:
+                edges.remove((b, a))
+            elif a != b:
+                edges.add((a, b))
+    follow: dict = {}
+    for a, b in sorted(edges):
+        follow.setdefault(a, []).append(b)
+    turn = lambda a, b, c: np.angle(complex(c[0] - b[0], c[1] - b[1]) / complex(b[0] - a[0], b[1] - a[1]))
+    out = []
+    while follow:
+        a = first = min(follow)
+        before, ring = None, []
+        while a in follow:
+            # where rings touch, the sharpest turn to the left stays in the same corner of the face
+            b = follow[a][0] if before is None else max(follow[a], key=lambda c: turn(before, a, c))
+            follow[a].remove(b)
+            if not follow[a]:
+                del follow[a]
+            ring.append(at[a])
+            before, a = a, b
+            if a == first:
+                break
+        out.append(np.array(ring))
+    return sorted(out, key=lambda r: -extrude._area(r))
+
+
+def faces(pieces: list[tuple[int, np.ndarray]], found: list[tuple[np.ndarray, np.ndarray]], origin: np.ndarray) -> list[dict]:
+    """The faces of a roof, their planes (nx x + ny y + nz z = d) and rings moved to the coordinates that have the origin."""
+    of, out = _face_of(pieces), []
+    for face, root in enumerate(dict.fromkeys(of)):
+        own = [i for i, r in enumerate(of) if r == root]
+        k = pieces[own[0]][0]
+        nx, ny, nz, d = map(float, found[k][0])
+        rings = [[{"x": float(x), "y": float(y)} for x, y in r + origin] for r in outline_of([pieces[i][1] for i in own])]
+        out.append({"face": face, "plane_index": k, "nx": nx, "ny": ny, "nz": nz, "d": d + nx * float(origin[0]) + ny * float(origin[1]), "rings": rings})
+    return out
 
 
 def reconstruct(outline: list[np.ndarray], points: np.ndarray, ground: float, planes_params: planes.PlaneParams | None = None, p: RoofParams | None = None) -> dict:
-    """Status, counts and volume of one outline's roof points (n, 3), and why it failed if it did."""
+    """Status, counts, volume and faces of one outline's roof points (n, 3), and why it failed if it did. outline: all rings, of holes and further parts too."""
     p = p or RoofParams()
-    row = {"status": "ok", "reason": None, "n_points": len(points), "n_planes": 0, "n_faces": 0, "volume_m3": None}
+    row = {"status": "ok", "reason": None, "n_points": len(points), "n_planes": 0, "n_faces": 0, "volume_m3": None, "faces": []}
     if len(points) < p.min_points:
         return row | {"status": "too-few-points", "reason": f"{len(points)} points, {p.min_points} needed"}
     origin = np.asarray(outline[0], float)[0]
@@ -154,25 +209,27 @@ def reconstruct(outline: list[np.ndarray], points: np.ndarray, ground: float, pl
     found = [(plane, rows) for plane, (_, rows) in zip(solved.planes, found, strict=True)]
     pieces = partition(outline, points, found, p)
     solid, problems = extrude.extrude([(found[k][0], [ring]) for k, ring in pieces], ground)
-    row |= {"n_planes": len(found), "n_faces": count_faces(pieces), "volume_m3": solid.volume() if solid else None}
+    row |= {"n_planes": len(found), "n_faces": count_faces(pieces), "volume_m3": solid.volume() if solid else None, "faces": faces(pieces, found, origin)}
     return row | ({"status": "not-watertight", "reason": "; ".join(problems)} if problems else {})
 
 
 def reconstruct_all(footprints: DataFrame, points: DataFrame, key: str, params: planes.PlaneParams | None = None) -> DataFrame:
-    """A row for every outline (key, ring of structs x, y, ground_z), whatever becomes of it. points: key, pid, x, y, z in the same metres."""
+    """A row for every outline (key, rings of structs x, y, or one ring, and ground_z), whatever becomes of it. points: key, pid, x, y, z in the same metres."""
     kind = footprints.schema[key].dataType.simpleString()
-    names = [key, "status", "reason", "n_points", "n_planes", "n_faces", "volume_m3"]
+    names = [key, "status", "reason", "n_points", "n_planes", "n_faces", "volume_m3", "faces"]
+    whole = "rings" in footprints.columns
 
     def run(f: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(f):
             return pd.DataFrame(columns=names)
         p = p.sort_values("pid")
         try:
-            ring = np.array([(c["x"], c["y"]) for c in f.ring.iloc[0]], float)
-            row = reconstruct([ring], p[["x", "y", "z"]].to_numpy(float), float(f.ground_z.iloc[0]), params)
+            rings = f.rings.iloc[0] if whole else [f.ring.iloc[0]]
+            rings = [np.array([(c["x"], c["y"]) for c in r], float) for r in rings]
+            row = reconstruct(rings, p[["x", "y", "z"]].to_numpy(float), float(f.ground_z.iloc[0]), params)
         except Exception as e:  # a failure is a row, not the end of the run
-            row = {"status": "error", "reason": f"{type(e).__name__}: {e}", "n_points": len(p), "n_planes": 0, "n_faces": 0, "volume_m3": None}
+            row = {"status": "error", "reason": f"{type(e).__name__}: {e}", "n_points": len(p), "n_planes": 0, "n_faces": 0, "volume_m3": None, "faces": []}
         return pd.DataFrame([{key: f[key].iloc[0]} | row], columns=names).astype({"volume_m3": float})
 
-    schema = f"{key} {kind}, status string, reason string, n_points bigint, n_planes int, n_faces int, volume_m3 double"
+    schema = f"{key} {kind}, status string, reason string, n_points bigint, n_planes int, n_faces int, volume_m3 double, faces {FACES}"
     return footprints.groupBy(key).cogroup(points.groupBy(key)).applyInPandas(run, schema)

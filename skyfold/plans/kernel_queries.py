@@ -36,7 +36,7 @@ def reconstructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scene(spark, sf_dir)
     shape = s.footprints.select("fid", F.transform("ring", lambda p: F.struct(((p.x - F.col("ox")) / 1000).alias("x"), ((p.y - F.col("oy")) / 1000).alias("y"))).alias("ring"), F.lit(30.0).alias("ground_z"))
     out = partition.reconstruct_all(shape, local_points(s), "fid")
-    return out.withColumn("volume_m3", F.round("volume_m3", 6))
+    return out.drop("faces").withColumn("volume_m3", F.round("volume_m3", 6))
 
 
 @query

@@ -153,6 +153,28 @@ def test_outlines_that_fail_are_told(spark):
     assert got == {1: "too-few-points", 2: "error"}
 
 
+def test_courtyards_and_further_parts_are_reconstructed(spark):
+    square = lambda x, y, w: [{"x": x + dx, "y": y + dy} for dx, dy in ((0.0, 0.0), (w, 0.0), (w, w), (0.0, w))]
+    at = (300_000.0, 5_040_000.0)
+    rings = {1: [square(*at, 12.0), square(at[0] + 4, at[1] + 4, 4.0)[::-1]], 2: [square(*at, 8.0), square(at[0] + 20, at[1], 8.0)]}
+    r = np.random.default_rng(3)
+    points = []
+    for fid, width in ((1, 12), (2, 28)):
+        x, y = r.uniform(0, width, 9000), r.uniform(0, 12 if fid == 1 else 8, 9000)
+        keep = ~((x > 4) & (x < 8) & (y > 4) & (y < 8)) if fid == 1 else (x < 8) | (x > 20)
+        points += [(fid, i, at[0] + float(a), at[1] + float(b), 6.0 + float(n)) for i, (a, b, n) in enumerate(zip(x[keep], y[keep], r.normal(0, 0.02, keep.sum())))]
+    f = spark.createDataFrame([(k, v, 0.0) for k, v in rings.items()], "fid int, rings array<array<struct<x:double,y:double>>>, ground_z double")
+    p = spark.createDataFrame(points, "fid int, pid int, x double, y double, z double")
+    got = {x.fid: x for x in partition.reconstruct_all(f, p, "fid").collect()}
+    area = lambda ring: extrude._area(np.array([(c.x, c.y) for c in ring]))
+    assert got[1].status == "ok" and abs(got[1].volume_m3 - 128 * 6) < 3 and got[2].status == "ok" and abs(got[2].volume_m3 - 128 * 6) < 3
+    assert got[1].n_faces == len(got[1].faces) == 1 and [round(area(x), 3) for x in got[1].faces[0].rings] == [144, -16]
+    assert got[2].n_faces == len(got[2].faces) == 2 and all([round(area(x), 3) for x in face.rings] == [64] for face in got[2].faces)
+    for face in (*got[1].faces, *got[2].faces):
+        c = face.rings[0][0]
+        assert c.x >= at[0] and c.y >= at[1] and abs((face.d - face.nx * c.x - face.ny * c.y) / face.nz - 6) < 0.1
+
+
 def test_planes_are_refined_together():
     box = [np.array([(0, 0), (10, 0), (10, 8), (0, 8)], float)]
     pts = roof_points(lambda x, y: 6 + np.minimum(y, 8 - y) / 2)
