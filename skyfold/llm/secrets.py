@@ -38,12 +38,21 @@ class Rule:
 
 
 _KEYWORD = r"((?i:password|passwd|secret|token|api_?key))"
+_PEM = r"[A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+_GAP, _LINE = r"[\x09-\x0D\x20\\]+(?:r\\)?", "[A-Za-z0-9+/=]"  # line ends may be escaped
+# A private key: to its footer if no other five hyphens come before it, or else the header and the base64 that
+# follows, up to what is neither base64 nor white space: words right after it go too. (No group is repeated for each line, as
+# java.util.regex recurses for it.)
+_KEY = (
+    rf"-----BEGIN {_PEM}(?:[^-]*(?:-{{1,4}}[^-]+){{0,64}}-----END {_PEM}"
+    rf"|(?:[\x09-\x0D\x20]*[A-Z][A-Za-z-]*: [^\x0A]*\x0A){{0,8}}{_GAP}{_LINE}{{16,}}[A-Za-z0-9+/=\x09-\x0D\x20\\]*)?"
+)
 # The formats of the kinds, in the order in which they are listed.
 RULES = (
     Rule("assign", _KEYWORD + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]{16,}", base=True),  # of AKIA[A-Z0-9]+ those of 20 and more
     Rule("hex", r"[0-9a-f]{24,}", base=True),  # of [0-9a-f]+ those of 24 and more
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", _KEY),
     Rule("forge", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("webtoken", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),

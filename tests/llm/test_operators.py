@@ -234,6 +234,24 @@ def test_redaction(spark):
     assert out[4].text == "[secret] é" and out[4].n_chars == 10
 
 
+def test_redaction_of_private_keys(spark):
+    line = "MIIEpAIBAAKCAQEA7bq+/x" * 2
+    body = "\n".join([line] * 30 + ["Ab12+/=="])
+    block = lambda kind, text, end="\n": f"-----BEGIN {kind}-----{end}{text}{end}-----END {kind}-----"
+    whole = [
+        block("RSA PRIVATE KEY", body), block("PRIVATE KEY", body), block("PGP PRIVATE KEY BLOCK", "Version: GnuPG v2\n\n" + body + "\n=aB3d"), block("PRIVATE KEY", body.replace("\n", "\\n"), "\\n"),
+        block("RSA PRIVATE KEY", body.replace("\n", " "), " "), block("EC PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n" + body), block("PRIVATE KEY", body.replace("\n", "\r\n"), "\r\n"),
+    ]
+    rows = [(i, f"a é {t} z.") for i, t in enumerate(whole)]
+    cut = f"-----BEGIN RSA PRIVATE KEY-----\n{body}"
+    rows += [(20, f"a {cut}, z"), (21, f"a {cut.replace(chr(10), chr(92) + 'r' + chr(92) + 'n')}, z"), (22, f"{cut}. b {whole[0]} c {whole[2]} d"), (23, "a -----BEGIN PRIVATE KEY----- is a header."), (24, "a -----BEGIN RSA PRIVATE KEY-----" + f"\n{line}" * 20_000)]
+    rows += [(25, f"a -----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}, z")]
+    out = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == "a é [secret] z." for i in range(len(whole)))
+    assert out[20] == out[21] == out[25] == "a [secret], z" and out[22] == "[secret]. b [secret] c [secret] d"
+    assert out[23] == "a [secret] is a header." and out[24] == "a [secret]"
+
+
 def test_repetition(spark):
     r = random.Random(3)
     rows = [(i, "".join(r.choice(["the ", "of ", "é ", "a\n", "#", "| ", "\t", "x y z\n"]) for _ in range(r.randrange(200)))) for i in range(150)]
