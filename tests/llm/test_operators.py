@@ -180,6 +180,13 @@ def test_contamination_in_windows_with_all_shingles_displaced(spark):
     assert {(x.doc_id, x.item_id): x.n_shared / x.n_union for x in got} == expected
 
 
+def test_contamination_with_an_exchanged_run_of_one_word(spark):
+    items = [(j, " ".join([f"w{j}_{i}" for i in range(40)] + [f"x{j}"] * 5)) for j in range(20)]
+    docs = [(j, f"before it {t.replace(f'x{j}', f'y{j}')} and after") for j, t in items]
+    got = decontaminate.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), shingle=1).collect()
+    assert {tuple(x) for x in got} == brute.contamination(docs, items, shingle=1) == {(j, j, 2, 40, 50) for j in range(20)}
+
+
 def test_multi_index_files_all_within_the_radius(spark):
     r = random.Random(2)
     pairs = []
