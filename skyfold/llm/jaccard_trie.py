@@ -3,17 +3,18 @@
 A document is the set of its word shingles. Two sets link when
 ``100 * |x & y| >= percent * |x | y|``; the result is the connected components.
 
-1. *Sets.* One pass gives each document's set size and a 128-bit digest of its set.
+1. *Sets.* One pass gives each document's set size, a 128-bit digest of its set and a
+   parity sketch. Equal sets are one from here on: the least doc_id stands for all.
 2. *Meeting.* Sets that link differ in at most d shingles, d growing with their
    size, so of d + 1 + e bands into which the shingles are dealt by hash, 1 + e are
    alike in both. A second pass deals every set of a size class into the class's
-   bands and sends (band digest, document) in binary blocks; sets that share a band
-   meet. e makes up for empty bands, which are sent only by the few sets that have
+   bands, once in a task however many copies the task sees, and sends (band digest,
+   set) in binary blocks; sets that share a band meet. e makes up for empty bands, which are sent only by the few sets that have
    more of them than e, so no linked pair is lost. Pairs that meet are dropped where
    parity sketches prove that they differ in more than d shingles (``Place``): a number
    of edges in proportion to the sets is kept, and none of a pair that may link is lost.
-3. *Join.* Documents that meet, directly or through others, form a cluster. One
-   representative of each distinct set goes to its cluster's task; a cluster larger
+3. *Join.* Sets that meet, directly or through others, form a cluster. The text of one
+   representative of each goes to its cluster's task; a cluster larger
    than a bundle is split and every two parts meet in a task of their own. There the
    sets, ordered by one global order (rarest first), are put in a trie. The trie is
    traversed with one set at a time; branches share the overlap of their common
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._io import cut, partitions, release
+from ._io import cut, discard, partitions
 from .components import components
 
 U64 = np.uint64
@@ -48,6 +49,8 @@ U64 = np.uint64
 BUNDLE_SETS, BUNDLE_SHINGLES = 1_000, 2_000_000
 #: Sets that share a band are compared by sketch, each with each if they are up to so many, else by leaders, up to so many.
 PLACE_PAIRS, PLACE_LEADERS = 12, 2_000
+#: Copies of one set are dealt over so many keys when they learn their component.
+SALTS = 32
 
 
 def shingle_sets(block: X.Block, k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +79,13 @@ def _sum(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def identities(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Size, two digests, and one digest of all three of each run first[i]:first[i+1]."""
+    n = np.diff(first).astype(np.int64)
+    d1, d2 = _sum(X.mix(h), first), _sum(X.mix(h ^ U64(0xC0FFEE)), first)
+    return n, d1.view(np.int64), d2.view(np.int64), X.mix(X.mix(d1 + n.astype(np.uint64)) ^ d2).view(np.int64)
+
+
 def _bands(top: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Bands, and spare ones among them, of classes of sets of up to top shingles."""
     d = (100 - percent) * 2 * top // (100 + percent)  # |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|)
@@ -220,58 +230,69 @@ def _sizes(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for block in X.blocks(batch.column(1)):
                 h, first = shingle_sets(block, k)
-                columns = [np.diff(first).astype(np.int64), _sum(X.mix(h), first).view(np.int64), _sum(X.mix(h ^ U64(0xC0FFEE)), first).view(np.int64)]
+                columns = identities(h, first)
                 drawn = pa.array([sketch(h[first[i] : first[i + 1]]) for i in range(len(block))], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), *map(pa.array, columns), drawn], names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), *map(pa.array, columns), drawn], names=["doc_id", "n_shingles", "d1", "d2", "set", "sketch"])
 
-    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, sketch binary")
+    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, set bigint, sketch binary")
 
 
 def _meetings(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(place, doc_id): documents with the same place share a band. Places with the same documents come once a task."""
+    """(place, set): sets with the same place share a band. Places with the same sets come once a task."""
     n_out = partitions(docs.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.empty(0, np.int64)  # sets of this task, in order
         for batch in batches:
-            ids = np.array(batch.column(0), np.int64)
-            for block in X.blocks(batch.column(1)):
+            for block in X.blocks(batch.column(0)):
                 h, first = shingle_sets(block, k)
-                own = ids[block.first : block.first + len(block)]
-                digest, doc = band_digests(h, first, percent)
+                own = identities(h, first)[3]
+                new = np.zeros(len(own), bool)
+                new[np.unique(own, return_index=True)[1]] = True
+                if len(seen):
+                    new &= seen[np.minimum(np.searchsorted(seen, own), len(seen) - 1)] != own
+                seen = np.union1d(seen, own)
+                size = np.diff(first)
+                h, own = h[np.repeat(new, size)], own[new]
+                first = np.concatenate(([0], np.cumsum(size[new])))
+                digest, which = band_digests(h, first, percent)
                 part = (digest >> U64(40)).astype(np.int64) % n_out
                 order = np.lexsort((digest, part))
-                digest, doc, part = digest[order], own[doc[order]], part[order]
+                digest, held, part = digest[order], own[which[order]], part[order]
                 cuts = np.searchsorted(part, np.arange(n_out + 1))
-                rows = [(p, digest[i:j].tobytes(), doc[i:j].tobytes()) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "digests", "docs"])
+                rows = [(p, digest[i:j].tobytes(), held[i:j].tobytes()) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "digests", "sets"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, docs = [], []
+        digests, sets = [], []
         for batch in batches:
             for d, x in zip(batch.column(1), batch.column(2), strict=True):
                 digests.append(np.frombuffer(d.as_py(), np.uint64))
-                docs.append(np.frombuffer(x.as_py(), np.int64))
+                sets.append(np.frombuffer(x.as_py(), np.int64))
         if not digests:
             return
-        digest, doc = np.concatenate(digests), np.concatenate(docs)
-        del digests, docs
-        order = np.lexsort((doc, digest))
-        digest, doc = digest[order], doc[order]
+        digest, held = np.concatenate(digests), np.concatenate(sets)
+        del digests, sets
+        order = np.lexsort((held, digest))
+        digest, held = digest[order], held[order]
+        fresh = np.ones(len(digest), bool)  # tasks may have sent the same set
+        fresh[1:] = (digest[1:] != digest[:-1]) | (held[1:] != held[:-1])
+        digest, held = digest[fresh], held[fresh]
         new = np.concatenate(([True], digest[1:] != digest[:-1]))
         at = np.flatnonzero(new)
-        size = np.diff(np.append(at, len(doc)))
-        # a place is named for its documents, so that equal places are one
-        name = X.mix(np.add.reduceat(X.mix(doc.view(np.uint64)), at) + size.astype(np.uint64)).view(np.int64)
+        size = np.diff(np.append(at, len(held)))
+        # a place is named for its sets, so that equal places are one
+        name = X.mix(np.add.reduceat(X.mix(held.view(np.uint64)), at) + size.astype(np.uint64)).view(np.int64)
         _, once = np.unique(name, return_index=True)
         once = once[size[once] > 1]
         n = size[once]
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place, doc = np.repeat(name[once], n), doc[inside + np.repeat(at[once], n)]
-        for i in range(0, len(doc), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(place[i : i + 100_000]), pa.array(doc[i : i + 100_000])], names=["place", "doc_id"])
+        place, held = np.repeat(name[once], n), held[inside + np.repeat(at[once], n)]
+        for i in range(0, len(held), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(place[i : i + 100_000]), pa.array(held[i : i + 100_000])], names=["place", "set"])
 
-    dealt = docs.select("doc_id", F.col("text").alias("_text")).where("doc_id is not null").mapInArrow(deal, "part int, digests binary, docs binary")
-    return dealt.repartition(n_out, "part").mapInArrow(meet, "place bigint, doc_id bigint").distinct()
+    dealt = docs.where("doc_id is not null").select(F.col("text").alias("_text")).mapInArrow(deal, "part int, digests binary, sets binary")
+    return dealt.repartition(n_out, "part").mapInArrow(meet, "place bigint, set bigint").distinct()
 
 
 def _likely(met: DataFrame, percent: int) -> DataFrame:
@@ -415,25 +436,34 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, bun
     if not 70 <= percent <= 100:
         raise ValueError("percent must be from 70 to 100")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    name = ["n_shingles", "d1", "d2"]
     sizes = cut(_sizes(docs, shingle), "sets")
     filled = sizes.where("doc_id is not null and n_shingles > 0")
-    first = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = filled.select("doc_id", "n_shingles", "d1", "d2").join(first, ["n_shingles", "d1", "d2"])
-    copies = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    # documents that share a band, as their sets' representatives
-    met = _meetings(docs, shingle, percent).join(member.select("doc_id", "rep").distinct(), "doc_id").select("place", "rep").distinct()
-    drawn = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")).select("rep", "n_shingles", "sketch")
-    cluster = components(_likely(met.join(drawn, "rep").select("place", "rep", "n_shingles", "sketch"), percent))
-    release(docs.sparkSession)  # the bands' blocks, before texts are dealt
-    rep = member.where("doc_id = rep").select("rep", "n_shingles").distinct().join(cluster.withColumnRenamed("node", "rep"), "rep")
+    group = filled.groupBy(*name).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    drawn = filled.groupBy(*name).agg(F.min("doc_id").alias("rep"), F.min("set").alias("set"), F.min("sketch").alias("sketch"))
+    met = cut(_meetings(docs, shingle, percent), "met")
+    likely = cut(_likely(met.join(drawn, "set").select("place", "rep", "n_shingles", "sketch"), percent), "likely")
+    discard(met)
+    rep = group.select("rep", "n_shingles").join(components(likely).withColumnRenamed("node", "rep"), "rep")
     width = rep.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total")).where("sets > 1")
     width = width.select("component", F.greatest(F.ceil(F.col("sets") / bundle_sets), F.ceil(F.col("total") / bundle_shingles)).cast("int").alias("n_parts"))
     rep = rep.join(width, "component").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n_parts")).cast("int"))
-    texts = docs.join(rep.select(F.col("rep").alias("doc_id"), "component", "part", "n_parts"), "doc_id")
+    texts = docs.join(rep.select(F.col("rep").alias("doc_id"), "component", "part", "n_parts").distinct(), "doc_id")
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
     texts = texts.select(F.col("component").alias("cluster"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "text")
     texts = texts.repartition(partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
-    found = components(_bundles(texts, shingle, percent).unionByName(copies))
-    release(docs.sparkSession)
-    out = sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = cut(_bundles(texts, shingle, percent), "links")
+    discard(likely)
+    # a doc_id of several sets ties them
+    several = filled.groupBy("doc_id").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least <> most").select("doc_id")
+    own = filled.join(several, "doc_id").select("doc_id", *name).join(group.select(*name, "rep"), name).where("doc_id <> rep")
+    tied = components(found.unionByName(own.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
+    # what is no longer its own: copies, and the sets of components; many copies of one set are dealt over salts
+    told = group.join(tied.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null")
+    salts = min(SALTS, partitions(docs.sparkSession))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int")
+    told = told.select(*name, F.coalesce("component", "rep").alias("component"), F.explode(F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(salt("rep")))).alias("salt"))
+    salted = filled.select("doc_id", *name, salt("doc_id").alias("salt"))
+    out = salted.join(told, [*name, "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    rest = sizes.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(rest)
