@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import sentencepiece
 
 from skyfold.llm import _text as X
 from skyfold.llm import sentencepiece_viterbi as S
@@ -15,50 +16,78 @@ def vocabulary():
     return S.Vocabulary.load(MODEL)
 
 
-def whole_text(v, text):
-    """Viterbi over all of a text."""
-    if not text:
-        return []
-    points = [S.SEPARATOR] + [S.SEPARATOR if c == " " else S.LITERAL if ord(c) == S.SEPARATOR else ord(c) for c in text]
-    spelled = "".join("\0" if p == S.LITERAL else chr(p) for p in points)
-    n = len(points)
-    best, back, code = [0.0] + [-1e300] * n, [0] * (n + 1), [None] * (n + 1)
-    for i in range(1, n + 1):
-        for j in range(max(0, i - v.longest), i):
-            got = v.pieces.get(spelled[j:i])
-            if got is None and j < i - 1:
-                continue
-            got = got or (None, v.unknown)
-            if best[j] + got[1] > best[i]:
-                best[i], back[i], code[i] = best[j] + got[1], j, got[0]
-    out, i = [], n
-    while i:
-        point = S.SEPARATOR if points[i - 1] == S.LITERAL else points[i - 1]
-        out.append([code[i]] if code[i] is not None else [v.byte_ids[b] for b in chr(point).encode()])
-        i = back[i]
-    return [x for ids in out[::-1] for x in ids]
-
-
-def test_ids_are_the_best_path_and_decode_to_the_text(vocabulary):
+@pytest.fixture(scope="module")
+def own():
+    return sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+
+def texts_of_all_kinds():
     r = random.Random(3)
-    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()[:8]
-    texts += ["", None, " ", "  a  b ", "▁x ▁", "\n\t\n", "日本語 テキスト😀", "a" * 300, "".join(r.choice("abcdeé中") for _ in range(400)), "x▁y"]
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()[:60]
+    texts += ["", None, " ", "  a  b ", "\n\t\n", "日本語 テキスト😀", "a" * 300, "hello world", "aaaa aaa ababab"]
+    texts += [" " * k + "ab" + " " * (37 - k) for k in range(0, 38, 5)]
+    texts += ["".join(r.choice("abcdeé中 ") for _ in range(400)), "".join(r.choice("etaoinshrdlu") for _ in range(3000))]
+    return texts + ["".join(r.choice("etaoinshrdlu") for _ in range(k)) for k in (33, 70) for _ in range(S.FEW + 5)]
+
+
+def test_ids_are_those_of_the_vocabularys_own_encoder_and_decode_to_the_text(vocabulary, own):
+    texts = texts_of_all_kinds()
     block, encoder = X.of_texts(texts), S.Encoder(vocabulary)
+    for _ in range(2):  # the second time from the cache
+        ids, at = encoder.encode(block)
+        for i, text in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == own.encode(text or ""), text
+            assert ids[at[i] : at[i + 1]].tolist() == encoder.encode_alone((text or "").encode()).tolist()
+        data, edge = encoder.decode(ids, at)
+        assert (data == block.data).all() and (edge == block.offsets).all()
+
+
+def test_a_separator_of_the_text_comes_back(vocabulary):
+    block, encoder = X.of_texts(["▁x ▁", "x▁y", "▁"]), S.Encoder(vocabulary)
     ids, at = encoder.encode(block)
-    for i, text in enumerate(texts):
-        assert ids[at[i] : at[i + 1]].tolist() == whole_text(vocabulary, text)
     data, edge = encoder.decode(ids, at)
     assert (data == block.data).all() and (edge == block.offsets).all()
 
 
-def test_the_window_stays_small(vocabulary):
+def test_a_full_cache_is_forgotten(vocabulary, own, monkeypatch):
+    monkeypatch.setattr(S, "CACHE_IDS", 50)
+    encoder, texts = S.Encoder(vocabulary), ["the cat sat on the mat", "a dog, and another dog", "the dog sat " * 40]
+    for text in texts * 2:
+        ids, _ = encoder.encode(X.of_texts([text]))
+        assert ids.tolist() == own.encode(text)
+
+
+def test_the_window_stays_small(vocabulary, own):
     stream = S.StreamingViterbi(vocabulary)
     r = random.Random(1)
     points = [S.SEPARATOR] + [ord(r.choice("abcdefgh")) for _ in range(5000)]
     early = list(stream.feed(points))
     assert stream.widest <= 4 * vocabulary.longest and len(early) > 1000
-    text = "".join(chr(p) for p in points[1:])
-    assert early + stream.finish() == whole_text(vocabulary, text)
+    assert early + stream.finish() == own.encode("".join(chr(p) for p in points[1:]))
+
+
+def test_a_window_in_lockstep_grows_where_paths_do_not_meet(vocabulary, own, monkeypatch):
+    lockstep = S.Lockstep(vocabulary)
+    lockstep.width = vocabulary.longest + 2  # soon full
+    words = ["".join(random.Random(k).choice("abcdefgh") for _ in range(200)) for k in range(5)]
+    flat, used = lockstep.run(np.array([[S.SEPARATOR] + [ord(c) for c in w] for w in words]))
+    assert flat.tolist() == [x for w in words for x in own.encode(w)]
+
+
+def test_which_pieces_stay_beside_each_other(vocabulary, own):
+    """A pair stays if the two pieces' text is cut into just these."""
+    r, ids = random.Random(7), [i for p, i in vocabulary.pieces.items() if p.isascii() and p.isalpha()]
+    a, b = np.array([r.choice(ids) for _ in range(4000)]), np.array([r.choice(ids) for _ in range(4000)])
+    got = vocabulary.stay(a, b)
+    ranks = {p: int(vocabulary.rank[i]) for p, i in vocabulary.pieces.items() if len(p) > 1}
+    for x, y, stays in zip(a.tolist(), b.tolist(), got.tolist(), strict=True):
+        parts = list((vocabulary.spelled[x] + vocabulary.spelled[y]).decode())
+        while True:
+            best = min(((ranks.get(p + q, 1 << 40), i) for i, (p, q) in enumerate(zip(parts, parts[1:]))), default=(1 << 40, 0))
+            if best[0] == 1 << 40:
+                break
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        assert stays == ([p.encode() for p in parts] == [vocabulary.spelled[x], vocabulary.spelled[y]])
 
 
 def test_frames(spark, vocabulary):
