@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from . import _text as X
 
-#: Words of an n-gram, and the most percent of a text's word characters inside n-grams found twice or more.
-NGRAM_LIMITS = {4: 60, 6: 45, 10: 30}
-#: The most percent of word characters in lines equal to an earlier one.
-LINE_LIMIT = 30
+# Limits published for web text (Rae et al. 2021, table A1). Words of an n-gram, and the most percent of a
+# text's word characters inside n-grams found twice or more; the most percent of word characters in lines equal to an earlier one.
+NGRAM_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+LINE_LIMIT = 20
 #: The base rules: fewest words, most percent of words in repeated windows of three.
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 _SYMBOL = np.zeros(256, bool)
