@@ -23,6 +23,7 @@ U64 = np.uint64
 R = U64(0x9E3779B97F4A7C15 | 5)
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _VALUE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64) | U64(1)
+_VALUE_2 = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64) | U64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -130,6 +131,10 @@ class Words:
             self._hash = span_hash(self._a, self.start, self.end)
         return self._hash
 
+    def second_hash(self) -> np.ndarray:
+        """Hashes of the words that are independent of ``hash``."""
+        return span_hash(self._a, self.start, self.end, _VALUE_2)
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -140,7 +145,7 @@ class Words:
         return lead[self.end] - lead[self.start]
 
 
-def span_hash(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(a: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _VALUE) -> np.ndarray:
     """Hashes of the disjoint, ascending byte ranges start:end; an empty one gives a fixed value."""
     size = end - start
     full = size > 0
@@ -149,7 +154,7 @@ def span_hash(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         s, n = start[full], size[full]
         total = np.concatenate(([0], np.cumsum(n)))
         inside = np.arange(total[-1]) - np.repeat(total[:-1], n)
-        v = _VALUE[a[inside + np.repeat(s, n)]] * power(inside)
+        v = values[a[inside + np.repeat(s, n)]] * power(inside)
         out[full] = np.add.reduceat(v, total[:-1])
     return mix(out)
 

@@ -121,6 +121,22 @@ def test_substring_dedup(spark, length):
     out = substring_dedup.substring_dedup(frame(spark, rows), length).collect()
     assert sorted(map(tuple, out), key=str) == brute.substring_dedup(rows, length)
     assert substring_dedup.substring_dedup(frame(spark, rows).where("false"), length).count() == 0
+    # whatever the levels are
+    out = substring_dedup.substring_dedup(frame(spark, rows), length, shortest=2).collect()
+    assert sorted(map(tuple, out), key=str) == brute.substring_dedup(rows, length)
+
+
+def test_levels_double_up_to_the_length():
+    assert substring_dedup.levels(50) == [13, 25, 50] and substring_dedup.levels(50, 2) == [2, 4, 7, 13, 25, 50]
+    assert substring_dedup.levels(7) == [7] and substring_dedup.levels(2, 2) == [2]
+
+
+def test_substring_dedup_shuffles_texts_once(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(100))) for i in range(60)]
+    out = substring_dedup.substring_dedup(frame(spark, rows), 50)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"REPARTITION_BY_NUM, \[plan_id=(\d+)\]", plan.partition("== Initial Plan ==")[0]))) >= 1 and "ReusedExchange" in plan
 
 
 def test_contamination(spark):
@@ -272,6 +288,38 @@ def test_repetition(spark):
     assert not any(x[-1] and x[-2] for x in out)
 
 
+def test_repetition_rejects_what_the_base_keeps(spark):
+    words = [f"w{i}" for i in range(300)]
+    fine, passage = " ".join(words), " ".join(words[:40])
+    lines = "\n".join([" ".join(words[i : i + 10]) for i in range(0, 200, 10)] + [" ".join(words[:10])] * 12)
+    rows = [(1, fine), (2, f"{fine} {passage}"), (3, f"{' '.join(words[:200])} {passage}"), (4, lines), (5, " ".join(f"{w} of the" for w in words))]
+    out = {r.doc_id: r for r in repetition.repetition(frame(spark, rows)).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert {i: r.kept for i, r in out.items()} == {1: True, 2: False, 3: False, 4: False, 5: True}
+    assert out[2].dup_10gram_chars * 100 > 10 * out[2].word_chars and out[4].dup_line_chars * 100 > 20 * out[4].word_chars
+    loose = repetition.repetition(frame(spark, rows), {10: 50}, 60).collect()
+    assert all(r.kept for r in loose)
+
+
+def test_very_long_texts(spark):
+    """Texts of some megabytes among small ones come out as they do alone."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(4_000)]
+    long = " ".join(r.choice(words) for _ in range(400_000))
+    rows = [(1, long), (2, "a b c"), (3, long), (4, long + " end"), (5, None)]
+    docs = frame(spark, rows)
+    measured = {x.doc_id: x for x in repetition.repetition(docs).collect()}
+    assert measured[1].n_words == measured[3].n_words == 400_000 and measured[4].n_words == 400_001 and measured[5].n_words == 0
+    joined = {x.doc_id: x.component_id for x in jaccard_trie.jaccard_components(docs).collect()}
+    assert joined == {1: 1, 2: 2, 3: 1, 4: 1, 5: 5}
+    cut = {x.doc_id: x for x in substring_dedup.substring_dedup(docs).collect()}
+    assert (cut[1].n_removed, cut[3].n_removed, cut[4].n_removed) == (0, 400_000, 400_000)
+    scores = {x.doc_id: x.score for x in quality_gbt.score(docs, quality_gbt.fit(np.zeros((4, len(quality_gbt.FEATURES))), np.array([0, 1, 0, 1]))).collect()}
+    assert scores[1] == scores[3] and len(scores) == 5
+    items = frame(spark, [(9, " ".join(long.split(" ")[200_000:200_060]))]).withColumnRenamed("doc_id", "item_id")
+    assert sorted(x.doc_id for x in decontaminate.contamination(docs, items).collect()) == [1, 3, 4]
+
+
 def test_trees_learn_and_are_traversed_alike():
     r = np.random.default_rng(0)
     x = r.normal(size=(2000, 5)).astype(np.float32)
@@ -355,6 +403,57 @@ def test_segmentation_is_the_best_of_all():
         assert abs(total - best(0)) < 1e-9
 
 
+def test_gradient_of_the_field():
+    data = pii_crf.prepared(pii_crf.writings(5, 12))
+    r = np.random.default_rng(2)
+    w = r.normal(size=(len(pii_crf.KINDS), pii_crf.FEATURES)) * 0.3
+    value, g = pii_crf.likelihood(w, data, 1e-2)
+    for k, f in r.integers((0, 0), w.shape, (40, 2)):
+        step = np.zeros_like(w)
+        step[k, f] = 1e-5
+        slope = (pii_crf.likelihood(w + step, data, 1e-2)[0] - pii_crf.likelihood(w - step, data, 1e-2)[0]) / 2e-5
+        assert abs(slope - g[k, f]) < 1e-4 * max(1, abs(slope))
+    # the likelihood is that of all segmentations, one by one
+    x, parts, tokens, y = max((d for d in data if len(d[1]) <= 10), key=lambda d: len(d[1]))
+    scores = x @ w.T
+
+    def total(i):
+        if i == tokens:
+            return 1.0
+        return total(i + 1) + sum(np.exp(scores[k]).sum() * total(i + n) for k, (j, n, _, _) in enumerate(parts) if j == i)
+
+    one = sum(scores[k, kind] for k, kind in y) - np.log(total(0)) - 0.5e-2 * (w * w).sum()
+    assert abs(pii_crf.likelihood(w, [(x, parts, tokens, y)], 1e-2)[0] - one) < 1e-9
+
+
+def test_features_of_spans():
+    names = {"whole": 3, "dotted": 4, "quad": 5, "plus": 8, "luhn": 21, "no check": 23, "cue": 35}
+    f = lambda s, cue="": pii_crf.features(s, cue)
+    assert all(len(f(s)) == pii_crf.FEATURES for s in ("", "a", "1", "@", "1.2.3.4", "+1 2"))
+    assert f("a@b.org")[names["whole"]] and f("a@b.org")[names["dotted"]] and f("a @ b")[names["whole"]] and not f("a@")[names["whole"]]
+    assert f("10-0-0-255")[names["quad"]] and not f("10-0-0-256")[names["quad"]] and not f("10.0-0.1")[names["quad"]]
+    assert f("4111 1111 1111 1111")[names["luhn"]] and f("4111 1111 1111 1112")[names["no check"]]
+    assert f("+1 2")[names["plus"]] and f("12", "Tel:")[names["cue"]] and not f("12", "on")[names["cue"]]
+
+
+def test_the_field_finds_writings_that_the_formats_do_not_know():
+    weights, held_out = pii_crf.train(pii_crf.writings(1, pii_crf.MADE_UP)), pii_crf.writings(99, 1_000)
+    beyond = found = wrong = added_n = 0
+    for text, gold in held_out:
+        base, added = pii_crf.find(text, weights)
+        other = [g for g in gold if g not in base]
+        beyond, found = beyond + len(other), found + sum(g in added for g in other)
+        wrong, added_n = wrong + sum(a not in gold for a in added), added_n + len(added)
+    assert beyond > 400 and found > 0.9 * beyond and wrong < 0.05 * added_n
+
+
+def test_no_added_span_overlaps_any_of_many_base_spans():
+    text = "+1" + " 2" * 6 + "." + "3.4.5" + " a@b.co" * 20 + " +1 (555) 555-0100 4111 1111 1111 1111 10-0-0-1"
+    base, added = pii_crf.find(text, pii_crf.train(pii_crf.writings(1, 200)))
+    assert not any(a < y and b > x for _, a, b in added for _, x, y in base)
+    assert pii_crf.find("7" * 300_000 + " @ " * 10, np.ones((4, pii_crf.FEATURES)))[0] == []
+
+
 def test_pii(spark):
     rows = [(i, f"call +1 (555) 555-{1000 + i} or x{i}@mail.example.com from 10.0.0.{i}, card 4111 1111 1111 1111") for i in range(40)]
     rows += [(None, None), (100, ""), (101, "Call (626) 555-5759 now"), (102, "9" * 100_000), (0, "no data")]
