@@ -14,8 +14,8 @@ piece can start from meet in one boundary, the ids before it are final and leave
 window. ``StreamingViterbi`` does so for one stream, ``Lockstep`` for many streams of
 one length at once in numpy. Where no piece has a word separator after another
 character, every path meets at the start of a word, so each word is a stretch of its
-own; different stretches are encoded once a task, as long as the bounded cache holds
-them.
+own; different stretches are encoded once a worker, as long as its bounded cache
+holds them.
 
 Spaces are written as U+2581 with one more in front, as the vocabulary's own encoder
 does; characters without a piece, and a U+2581 of the text itself (the only case in which
@@ -29,6 +29,7 @@ rows with a null or repeated doc_id are encoded like any other.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,7 @@ SEPARATOR, LITERAL = 0x2581, 0x110000  # of the vocabulary; a U+2581 of the text
 FEW = 24
 #: Bytes of texts that are encoded together, and ids of stretches that are remembered at most.
 ENCODE_BYTES, CACHE_IDS = 3 << 20, 2 << 20
+_TOP = U64(44)
 _NEVER, _FIRST = np.iinfo(np.int32).max, -1  # ranks: of no piece; of a single character
 
 
@@ -88,6 +90,9 @@ class Vocabulary:
             if len(p) > 1:
                 self.rank[i], self.left[i], self.right[i] = ranks[p], self.pieces[splits[p][0]], self.pieces[splits[p][1]]
         self.index = HashIndex(self.key[self.ids])
+        self.maybe = np.zeros(1 << 20, bool)  # by the top bits of keys: whether there may be a piece
+        self.maybe[self.key[self.ids] >> _TOP] = True
+        self.name = uuid.uuid4().hex
         self._stays: dict[tuple[int, int], bool] = {}
 
     @classmethod
@@ -118,13 +123,17 @@ class Vocabulary:
         a, b = a[rows], b[rows]
         until_a = until_b = np.full(len(rows), _NEVER, np.int64)  # the rank at which a piece is merged away
         while len(rows):
-            row = self.index.find(self.key[a] + self.key[b] * X.power(self.length[a]))
+            key = self.key[a] + self.key[b] * X.power(self.length[a])
+            may = np.flatnonzero(self.maybe[key >> _TOP])
+            row = self.index.find(key[may])
             joined = np.where(row >= 0, self.rank[self.ids[row]], _NEVER)
-            crossed = (joined < until_a) & (joined <= until_b) & (joined < _NEVER)  # of equal ranks the left one comes first
+            crossed = may[(joined < until_a[may]) & (joined <= until_b[may]) & (joined < _NEVER)]  # of equal ranks the left one comes first
             out[rows[crossed]] = False
             ra, rb = self.rank[a], self.rank[b]
             undo = ra > rb
-            go = ~crossed & (undo | (rb > _FIRST))
+            go = undo | (rb > _FIRST)
+            go[crossed] = False
+            go = np.flatnonzero(go)
             rows, a, b, ra, rb, undo, until_a, until_b = (x[go] for x in (rows, a, b, ra, rb, undo, until_a, until_b))
             until_a, until_b = np.where(undo, ra, until_a), np.where(undo, until_b, rb)
             a, b = np.where(undo, self.right[a], a), np.where(undo, b, self.left[b])
@@ -211,7 +220,7 @@ class Lockstep:
         """Codes of all rows, one after another, and how many each row has."""
         n, length = points.shape
         v, w = self.v, self.width
-        value, rows = v.values[points], np.arange(n)
+        value, rows = np.ascontiguousarray(v.values[points].T), np.arange(n)
         self.back, self.code = np.zeros((n, w), np.int64), np.full((n, w), -1, np.int64)
         self.done = np.zeros(n, np.int64)  # the boundary before which ids are final
         out, used = np.zeros((n, length), np.int64), np.zeros(n, np.int64)
@@ -219,19 +228,19 @@ class Lockstep:
             far = min(i, v.longest)
             keys = np.zeros((far + 1, n), np.uint64)
             for k in range(1, far + 1):  # the key of the last k from that of the last k - 1
-                keys[k] = value[:, i - k] + keys[k - 1] * X.R
+                keys[k] = value[i - k] + keys[k - 1] * X.R
             back, code = np.full(n, i - 1), -1 - points[:, i - 1]
-            todo = rows
+            todo = np.ones(n, bool)
             for k in range(far, 0, -1):
-                row = v.index.find(keys[k][todo])
-                hit = row >= 0
-                got, own = v.ids[row[hit]], todo[hit]
-                fits = v.stay(self.code[own, (i - k) % w], got) if i > k else np.ones(len(own), bool)
-                back[own[fits]], code[own[fits]] = i - k, got[fits]
-                hit[hit] = fits
-                todo = todo[~hit]
-                if not len(todo):
-                    break
+                own = np.flatnonzero(v.maybe[keys[k] >> _TOP] & todo)
+                row = v.index.find(keys[k][own])
+                own, row = own[row >= 0], row[row >= 0]
+                got = v.ids[row]
+                if i > k:
+                    fits = v.stay(self.code[own, (i - k) % w], got)
+                    own, got = own[fits], got[fits]
+                back[own], code[own] = i - k, got
+                todo[own] = False
             self.back[:, i % w], self.code[:, i % w] = back, code
             if i < length and (i % v.longest == 0 or i - self.done.min() >= w - 1):
                 self._commit(i, out, used)
@@ -394,13 +403,24 @@ class Encoder:
         return np.delete(data, edge[full]), edge - np.searchsorted(full, np.arange(len(edge)))
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(vocabulary: Vocabulary) -> Encoder:
+    """This worker's encoder of the vocabulary, with what it remembers from earlier tasks."""
+    if vocabulary.name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[vocabulary.name] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary.name]
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of ``keep``, ids, n_ids and round_trip (whether decoding gives the text back)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", ids array<int>, n_ids bigint, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value)
         for batch in batches:
             for block in X.blocks(batch.column(len(keep)), ENCODE_BYTES):
                 ids, at = encoder.encode(block)
@@ -427,7 +447,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value)
         for batch in batches:
             lists = [np.array(x or [], np.int64) for x in batch.column(1).to_pylist()]
             data, edge = encoder.decode(np.concatenate([np.empty(0, np.int64), *lists]), np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64))))
