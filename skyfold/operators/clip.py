@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.functions import geo, overlay
+from skyfold.functions import geo, overlay, shapes
 from skyfold.operators import evaluation, spatial
 
 # What becomes of a point of each class.
@@ -27,15 +28,39 @@ def policy(cls: Column) -> Column:
 
 
 def clip(points: DataFrame, footprints: DataFrame, bin_size: float, margin: float, height: float, k: int = NEIGHBOURS) -> DataFrame:
-    """Roof points (pid, x, y, z, cls) of each outline (fid, edges): those kept by class, and those
+    """Roof points (fid, pid, x, y, z, cls) of each outline (fid, edges): those kept by class, and those
     that may be if they stand more than ``height`` over the median of the k nearest ground points
-    within ``margin`` of the outline. Without ground near by, these are kept."""
-    near = spatial.points_in_shapes(points.where(F.col("cls").isin(*USED)), footprints, bin_size, margin).withColumn("policy", policy(F.col("cls")))
-    inside = near.where(geo.intersects(F.col("edges"), F.col("x"), F.col("y"))).drop("edges")
-    raised = inside.where("policy = 'keep_if_elevated'")
-    ground = spatial.nearest_median(raised.select("fid", "pid", "x", "y"), near.where(F.col("cls") == GROUND), "fid", k)
-    raised = raised.join(ground, ["fid", "pid"], "left").where(F.col("ground").isNull() | (F.col("z") - F.col("ground") > height)).drop("ground")
-    return inside.where("policy = 'keep'").unionByName(raised).drop("policy")
+    within ``margin`` of the outline. Without ground near by, these are dropped. A point of an
+    unknown class is an error.
+
+    Points meet outlines once, by bins and bounds. They are dealt by outline without its edges,
+    which the kernel gets once; an outline's points are bounded by what lies on its ground.
+    """
+    used = points.withColumn("policy", policy(F.col("cls"))).where((F.col("policy") != "drop") | (F.col("cls") == GROUND)).drop("policy")
+    near = spatial.near_bounds(used.select("pid", "x", "y", "z", "cls"), footprints.select("fid", "edges"), bin_size, margin).drop("edges")
+    columns = ["fid", "pid", "x", "y", "z", "cls"]
+    kept = [c for c, p in POLICY.items() if p == "keep"]
+
+    def run(shape: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(shape) or not len(rows):
+            return rows[columns].iloc[:0]
+        edges = overlay.edge_array(shape["edges"].iloc[0])
+        edges, origin = edges - np.tile(edges[0, :2], 2), edges[0, :2]
+        rows = rows.sort_values("pid", kind="stable")
+        xy = rows[["x", "y"]].to_numpy(float) - origin
+        held, cls, z = shapes.inside(edges, *xy.T), rows["cls"].to_numpy(), rows["z"].to_numpy()
+        take = held & np.isin(cls, kept)
+        raised = np.flatnonzero(held & ~take & (cls != GROUND))
+        ground = np.flatnonzero(cls == GROUND)
+        ground = ground[held[ground] | (shapes.boundary_distance(edges, *xy[ground].T) < margin)]
+        if len(raised) and len(ground):
+            take[raised] = z[raised] - shapes.nearest_median(xy[raised], xy[ground], z[ground], k) > height
+        return rows.loc[take, columns]
+
+    types = {f.name: f.dataType.simpleString() for f in near.schema.fields}
+    schema = ", ".join(f"{c} {types[c]}" for c in columns)
+    fresh = footprints.select(*(F.col(c).alias(c) for c in ("fid", "edges")))  # columns of its own, so that both sides can come of one table
+    return fresh.groupBy("fid").cogroup(near.select(*columns).groupBy("fid")).applyInPandas(run, schema)
 
 
 def floor_height(z: str, cls: str) -> Column:
@@ -75,11 +100,11 @@ def overlaps(a: DataFrame, b: DataFrame, bin_size: float) -> DataFrame:
     return met.withColumn("_o", areas("edges_a", "edges_b")).select("*", "_o.*").drop("_o", "edges_a", "edges_b")
 
 
-def assign(footprints: DataFrame, buildings: DataFrame, bin_size: float, least: float = 0.5) -> DataFrame:
-    """(building_id, fid, share): the outline that holds most of each building; none under ``least``, none of no area."""
+def assign(footprints: DataFrame, buildings: DataFrame, bin_size: float, least: float = 0.5, name: str = "fid") -> DataFrame:
+    """(building_id, name, share): the outline that holds most of each building; none under ``least``, none of no area."""
     met = overlaps(footprints.withColumnRenamed("edges", "edges_a"), buildings.withColumnRenamed("edges", "edges_b"), bin_size)
     met = met.where("area_b > 0").withColumn("share", F.col("common") / F.col("area_b"))
-    return evaluation.best_share(met, "building_id", "fid", least)
+    return evaluation.best_share(met, "building_id", name, least)
 
 
 def quantise(points: DataFrame) -> DataFrame:

@@ -34,16 +34,17 @@ def temporal_status(status: Column, offset: Column) -> Column:
     return F.when((status == "ok") & (F.abs(offset) > TEMPORAL_M), F.lit("suspect-temporal")).otherwise(status)
 
 
-def score_cells(cells: DataFrame, key: list[str]) -> DataFrame:
-    """Scores of cells with z_ref, z_pred and z_lidar (each null where undefined)."""
+def score_cells(cells: DataFrame, key: list[str], unit: float = 1.0) -> DataFrame:
+    """Scores of cells with z_ref, z_pred and z_lidar (each null where undefined), given in so many parts of a
+    metre: sums are taken in that unit and divided once."""
     both = F.col("z_ref").isNotNull() & F.col("z_pred").isNotNull()
     error = F.when(both, F.col("z_pred") - F.col("z_ref"))
     out = cells.groupBy(*key).agg(
         F.count("z_ref").alias("n_ref_cells"),
         F.count_if(both).alias("n_valid_cells"),
-        F.coalesce(F.sum(error * error), F.lit(0.0)).alias("sum_sq_m2"),
-        F.median(F.col("z_lidar") - F.col("z_ref")).alias("temporal_offset_m"),
-        F.median(error).alias("bias_m"),
+        (F.coalesce(F.sum(error * error), F.lit(0.0)) / (unit * unit)).alias("sum_sq_m2"),
+        (F.median(F.col("z_lidar") - F.col("z_ref")) / unit).alias("temporal_offset_m"),
+        (F.median(error) / unit).alias("bias_m"),
     )
     return out.withColumn("rmse_m", F.sqrt(F.try_divide("sum_sq_m2", "n_valid_cells"))).withColumn("coverage", F.try_divide("n_valid_cells", "n_ref_cells"))
 

@@ -1,7 +1,7 @@
 """Roof partition by an arrangement of lines, and the whole reconstruction of an outline.
 
-An outline is cut by the level lines of neighbouring planes (where their heights are equal)
-and by the extensions of its own reflex corners' edges. Every line cuts every piece, so the
+An outline is cut by the level lines of neighbouring planes (where their heights are equal), by
+the steps between neighbours that meet nowhere near, and by the extensions of its own edges. Every line cuts every piece, so the
 pieces are convex and share whole edges: an exact partition without snapping, in which ridges
 lie where the planes meet. Each piece takes the plane that most of its points belong to, or
 that of the nearest point; pieces of one plane that share an edge are one face.
@@ -19,11 +19,11 @@ from skyfold.operators import extrude, planes, topology
 
 FACES = "array<struct<face:int,plane_index:int,nx:double,ny:double,nz:double,d:double,rings:array<array<struct<x:double,y:double>>>>>"
 ADJACENT_M, ADJACENT_POINTS, LEAST_AREA_M2 = 0.75, 3, 1e-6
+LEAST_EDGE_M, ALIGN_DEG = 2.0, 15.0
 
 
 @dataclass(frozen=True)
 class RoofParams:
-    max_lines: int = 60
     min_points: int = 50
     floor_percentile: float = 5.0
 
@@ -38,6 +38,41 @@ def level_line(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float] | Non
     return n[0] / size, n[1] / size, float(b[3] / b[2] - a[3] / a[2]) / size
 
 
+def step_line(a: np.ndarray, b: np.ndarray, outline: list[np.ndarray]) -> tuple[float, float, float] | None:
+    """The line between points a and b in plan (row by row neighbours across a step): through the middle of their pairs, along
+    them, or along an outline's edge that runs nearly so."""
+    middle = (a + b) / 2
+    centre = middle.mean(0)
+    _, size, axes = np.linalg.svd(middle - centre, full_matrices=False)
+    if size[0] < 1e-9:
+        return None
+    along = axes[0]
+    edges = np.vstack([np.roll(r, -1, axis=0) - r for r in outline])
+    edges = edges[np.hypot(*edges.T) >= LEAST_EDGE_M]
+    if len(edges):
+        unit = edges / np.hypot(*edges.T)[:, None]
+        turned = np.vstack((unit, unit[:, ::-1] * [1, -1]))
+        near = np.abs(turned @ along)
+        if near.max() >= np.cos(np.radians(ALIGN_DEG)):
+            along = turned[int(near.argmax())]
+    normal = np.array([-along[1], along[0]])
+    return float(normal[0]), float(normal[1]), float(np.median(middle @ normal))
+
+
+def _cut(found: list, i: int, j: int, points: np.ndarray, outline: list[np.ndarray]) -> tuple[int, tuple] | None:
+    """How many points touch across two planes, and the line that parts them: where their heights are equal, if it runs
+    along their neighbouring points, else the step between these."""
+    a, b = points[found[i][1], :2], points[found[j][1], :2]
+    of_a, of_b = planes.neighbours(a, b, ADJACENT_M)
+    if len(np.unique(of_b)) < ADJACENT_POINTS:
+        return None
+    line = level_line(found[i][0], found[j][0])
+    middle = (a[of_a] + b[of_b]) / 2
+    if line is None or np.median(np.abs(middle @ np.array(line[:2]) - line[2])) > ADJACENT_M:
+        line = step_line(a[of_a], b[of_b], outline) or line
+    return (len(of_b), line) if line else None
+
+
 def split(ring: np.ndarray, line: tuple[float, float, float]) -> list[np.ndarray]:
     """A convex ring cut by a line: one part or two."""
     d = ring @ np.array(line[:2]) - line[2]
@@ -92,17 +127,12 @@ def inside(rings: list[np.ndarray], point: np.ndarray) -> bool:
     return odd
 
 
-def partition(outline: list[np.ndarray], points: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], p: RoofParams | None = None) -> list[tuple[int, np.ndarray]]:
+def partition(outline: list[np.ndarray], points: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
     """(plane's place, ring) of the pieces of a roof. points and planes lie in the outline's coordinates."""
-    p = p or RoofParams()
     pieces = convex_pieces(outline)
-    lines = []
-    for i in range(len(found)):
-        for j in range(i + 1, len(found)):
-            touching = planes.neighbours(points[found[i][1], :2], points[found[j][1], :2], ADJACENT_M)[1]
-            if len(np.unique(touching)) >= ADJACENT_POINTS and (line := level_line(found[i][0], found[j][0])):
-                lines.append((len(touching), line))
-    for _, line in sorted(lines, key=lambda x: -x[0])[: p.max_lines]:
+    outline = [np.asarray(r, float) for r in outline]
+    lines = [c for i in range(len(found)) for j in range(i + 1, len(found)) if (c := _cut(found, i, j, points, outline))]
+    for _, line in sorted(lines, key=lambda x: -x[0]):
         pieces = [s for piece in pieces for s in split(piece, line)]
     rows = np.concatenate([r for _, r in found])
     owner = np.repeat(np.arange(len(found)), [len(r) for _, r in found])
@@ -207,7 +237,7 @@ def reconstruct(outline: list[np.ndarray], points: np.ndarray, ground: float, pl
     if solved.status != "ok":
         return row | {"status": "solver-failed", "reason": solved.reason, "n_planes": len(found)}
     found = [(plane, rows) for plane, (_, rows) in zip(solved.planes, found, strict=True)]
-    pieces = partition(outline, points, found, p)
+    pieces = partition(outline, points, found)
     solid, problems = extrude.extrude([(found[k][0], [ring]) for k, ring in pieces], ground)
     row |= {"n_planes": len(found), "n_faces": count_faces(pieces), "volume_m3": solid.volume() if solid else None, "faces": faces(pieces, found, origin)}
     return row | ({"status": "not-watertight", "reason": "; ".join(problems)} if problems else {})

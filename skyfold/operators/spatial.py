@@ -8,10 +8,12 @@ most what lies on its ground, so a hot shape is spread over many keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.functions import geo
+from skyfold.functions import geo, shapes
 
 
 def with_bounds(shapes: DataFrame, edges: str = "edges") -> DataFrame:
@@ -35,14 +37,20 @@ def bin_points(points: DataFrame, size: float) -> DataFrame:
     return points.withColumn("bx", F.floor(F.col("x") / size)).withColumn("by", F.floor(F.col("y") / size))
 
 
-def points_in_shapes(points: DataFrame, shapes: DataFrame, size: float, margin: float = 0, closed: bool = True) -> DataFrame:
-    """Every point with every shape that holds it, or lies nearer to it than margin."""
+def near_bounds(points: DataFrame, shapes: DataFrame, size: float, margin: float = 0) -> DataFrame:
+    """Every point with every shape whose bounds and margin hold it."""
     spread = bin_explode(with_bounds(shapes), size, margin)
     met = bin_points(points, size).join(spread, ["bx", "by"])
     x, y = F.col("x"), F.col("y")
     met = met.where(x.between(F.col("xmin") - margin, F.col("xmax") + margin) & y.between(F.col("ymin") - margin, F.col("ymax") + margin))
+    return met.drop("bx", "by", "xmin", "ymin", "xmax", "ymax")
+
+
+def points_in_shapes(points: DataFrame, shapes: DataFrame, size: float, margin: float = 0, closed: bool = True) -> DataFrame:
+    """Every point with every shape that holds it, or lies nearer to it than margin."""
+    x, y = F.col("x"), F.col("y")
     test = geo.within(F.col("edges"), x, y, margin) if margin else (geo.intersects if closed else geo.contains)(F.col("edges"), x, y)
-    return met.where(test).drop("bx", "by", "xmin", "ymin", "xmax", "ymax")
+    return near_bounds(points, shapes, size, margin).where(test)
 
 
 def window_query(points: DataFrame, windows: DataFrame, size: float) -> DataFrame:
@@ -54,13 +62,22 @@ def window_query(points: DataFrame, windows: DataFrame, size: float) -> DataFram
 def nearest_median(queries: DataFrame, targets: DataFrame, group: str, k: int, query_id: str = "pid", target_id: str = "pid", value: str = "z") -> DataFrame:
     """(group, query id, ground): the median value of the k targets of the group nearest in plan; ties by id.
 
-    Groups are footprints, so pairs within one are bounded by what lies on its ground.
+    Groups are footprints, bounded by what lies on their ground. Within one, targets are filed in
+    cells and each query looks at those around it, so the work grows with the points, not their pairs.
     """
-    t = targets.select(group, F.col(target_id).alias("_t"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(value).alias("_v"))
-    met = queries.join(t, group)
-    d2 = (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y"))
-    near = Window.partitionBy(group, query_id).orderBy(d2, "_t")
-    return met.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= k).groupBy(group, query_id).agg(F.median("_v").alias("ground"))
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
+    names = [group, query_id, "ground"]
+
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(t):
+            return pd.DataFrame({c: q[c].iloc[:0] if c != "ground" else np.empty(0) for c in names})
+        t = t.sort_values(target_id, kind="stable")
+        a, b = (f[["x", "y"]].to_numpy(float) for f in (q, t))
+        got = shapes.nearest_median(a - b[0], b - b[0], t[value].to_numpy(float), k)
+        return pd.DataFrame({group: q[group], query_id: q[query_id], "ground": got})
+
+    met = queries.select(group, query_id, "x", "y").groupBy(group).cogroup(targets.select(*(F.col(c).alias(c) for c in (group, target_id, "x", "y", value))).groupBy(group))
+    return met.applyInPandas(run, f"{group} {kinds[group]}, {query_id} {kinds[query_id]}, ground double")
 
 
 def cells_of(shapes: DataFrame, cell: float, erode: float) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Queries of the per-outline kernels. SQL cannot express them; the tests hold them against closed-form roofs."""
+"""Queries of the solid kernel, checked by closed forms."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfold.operators import extrude, partition, planes
+from skyfold.operators import extrude
 from skyfold.plans.scene import Scene
 
 QUERIES: dict = {}
@@ -17,28 +17,6 @@ def query(f):
     return f
 
 
-def local_points(scene: Scene) -> DataFrame:
-    """Roof points in metres about their outline's origin."""
-    f = scene.sql("footprints").select("fid", "ox", "oy")
-    m = lambda c, o=None: ((F.col(c) - F.col(o) if o else F.col(c)).cast("double") / 1000).alias(c)
-    return scene.points.where("cls = 6").join(f, "fid").select("fid", "pid", m("x", "ox"), m("y", "oy"), m("z"))
-
-
-@query
-def detect_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = planes.detect_planes(local_points(Scene(spark, sf_dir)), "fid")
-    return out.select("fid", "plane_index", *(F.round(c, 6).alias(c) for c in ("nx", "ny", "nz", "d")), "n_inliers", "n_points", "reason")
-
-
-@query
-def reconstructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planes, partition and solid of every outline, a row for each, failures too."""
-    s = Scene(spark, sf_dir)
-    shape = s.footprints.select("fid", F.transform("ring", lambda p: F.struct(((p.x - F.col("ox")) / 1000).alias("x"), ((p.y - F.col("oy")) / 1000).alias("y"))).alias("ring"), F.lit(30.0).alias("ground_z"))
-    out = partition.reconstruct_all(shape, local_points(s), "fid")
-    return out.drop("faces").withColumn("volume_m3", F.round("volume_m3", 6))
-
-
 @query
 def extruded_solids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Solids of the outlines, the west half and the east half a face each."""

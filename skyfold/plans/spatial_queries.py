@@ -265,17 +265,16 @@ def predicted_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(spark, sf_dir).groupBy("building_id").agg(F.count("z_pred").alias("n"), F.round(F.sum("z_pred"), 1).alias("total"))
 
 
-@query(_PRED + """ SELECT building_id, count(z_ref) AS n_ref_cells, count(*) FILTER (WHERE z_ref IS NOT NULL AND z_pred IS NOT NULL) AS n_valid_cells, round(coalesce(sum(((z_pred - z_ref) / 1000) ** 2), 0), 4) AS sum_sq_m2,
-  round(sqrt(avg(((z_pred - z_ref) / 1000) ** 2)), 5) AS rmse_m, round(count(*) FILTER (WHERE z_ref IS NOT NULL AND z_pred IS NOT NULL) / nullif(count(z_ref), 0), 6) AS coverage, round(median((z_lidar - z_ref) / 1000), 4) AS temporal_offset_m,
-  CASE WHEN abs(median((z_lidar - z_ref) / 1000)) > 1.5 THEN 'suspect-temporal' ELSE 'ok' END AS status FROM pred GROUP BY building_id""", "points", "roofs")
+@query(_PRED + """ SELECT building_id, count(z_ref) AS n_ref_cells, count(*) FILTER (WHERE z_ref IS NOT NULL AND z_pred IS NOT NULL) AS n_valid_cells, round(coalesce(sum((z_pred - z_ref) ** 2), 0) / 1e6, 10) AS sum_sq_m2,
+  round(sqrt(sum((z_pred - z_ref) ** 2) / 1e6 / count(*) FILTER (WHERE z_ref IS NOT NULL AND z_pred IS NOT NULL)), 9) AS rmse_m, round(count(*) FILTER (WHERE z_ref IS NOT NULL AND z_pred IS NOT NULL) / nullif(count(z_ref), 0), 6) AS coverage, round(median(z_lidar - z_ref) / 1000, 9) AS temporal_offset_m,
+  CASE WHEN abs(median(z_lidar - z_ref) / 1000) > 1.5 THEN 'suspect-temporal' ELSE 'ok' END AS status FROM pred GROUP BY building_id""", "points", "roofs")
 def building_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.operators import evaluation
 
-    cells = _predicted(spark, sf_dir).select("building_id", *((F.col(c) / 1000).alias(c) for c in ("z_ref", "z_pred", "z_lidar")))
-    out = evaluation.score_cells(cells, ["building_id"])
+    out = evaluation.score_cells(_predicted(spark, sf_dir), ["building_id"], unit=1000.0)
     r = lambda c, n: F.round(c, n).alias(c)
     status = evaluation.temporal_status(F.lit("ok"), F.col("temporal_offset_m")).alias("status")
-    return out.select("building_id", "n_ref_cells", "n_valid_cells", r("sum_sq_m2", 4), r("rmse_m", 5), r("coverage", 6), r("temporal_offset_m", 4), status)
+    return out.select("building_id", "n_ref_cells", "n_valid_cells", r("sum_sq_m2", 10), r("rmse_m", 9), r("coverage", 6), r("temporal_offset_m", 9), status)
 
 
 @query("""SELECT f.fid FROM footprints f WHERE (CAST(floor(ox / 200000.0) AS BIGINT) + CAST(floor(oy / 200000.0) AS BIGINT)) % 3 = 0 OR (CAST(floor((ox + w) / 200000.0) AS BIGINT) + CAST(floor(oy / 200000.0) AS BIGINT)) % 3 = 0
@@ -300,10 +299,11 @@ def covering_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT pid, cls FROM (SELECT pid, cls, row_number() OVER (PARTITION BY cls ORDER BY ('0x' || substr(md5(pid), 1, 8))::BIGINT, pid) AS rn FROM points) WHERE rn <= CASE cls WHEN 6 THEN 200 ELSE 50 END""", "points")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each class the points of the smallest keys, up to its quota. A filter on row_number keeps no more than the quota of any task's rows."""
+    """Of each class the points of the smallest keys, up to its quota. The rank is limited by the largest quota first, which
+    Spark applies in every task before the shuffle (a window group limit); each class's own quota comes after."""
     p = Scene(spark, sf_dir).points.select("pid", "cls", F.conv(F.substring(F.md5("pid"), 1, 8), 16, 10).cast("bigint").alias("key"))
     p = p.withColumn("rn", F.row_number().over(Window.partitionBy("cls").orderBy("key", "pid")))
-    return p.where("(cls = 6 and rn <= 200) or (cls <> 6 and rn <= 50)").select("pid", "cls")
+    return p.where("rn <= 200").where("cls = 6 or rn <= 50").select("pid", "cls")
 
 
 @query("""SELECT pid, CAST(round_even((x - lx) / 1000.0 / scale, 0) AS BIGINT) AS qx, CAST(round_even((y - ly) / 1000.0 / scale, 0) AS BIGINT) AS qy FROM points CROSS JOIN

@@ -195,3 +195,68 @@ def test_a_pyramid_meets_in_one_corner():
     heights = [(p[3] - p[:2] @ [4, 4]) / p[2] for p in got.planes]
     assert np.ptp(heights) < 0.03 and abs(np.mean(heights) - 8.4) < 0.05
     assert topology.refine(pts, [], box).status == "ok"
+
+
+def test_unions_of_overlapping_shapes():
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        rings = []
+        for _ in range(r.integers(1, 6)):
+            x, y, w, h = r.integers(0, 8), r.integers(0, 8), r.integers(1, 6), r.integers(1, 6)
+            rings.append(np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float) + 1e6)
+        shapes = [overlay.ring_edge_array(ring) for ring in rings]
+        held = np.zeros((16, 16), bool)
+        for ring in rings:
+            (x0, y0), (x1, y1) = (ring.min(0) - 1e6).astype(int), (ring.max(0) - 1e6).astype(int)
+            held[x0:x1, y0:y1] = True
+        area = overlay.region_areas([shapes], lambda m: m[0])[0]
+        edges = overlay.union_edges(shapes)
+        assert abs(area - held.sum()) < 1e-6
+        assert abs(overlay.region_areas([[edges]], lambda m: m[0])[0] - area) < 1e-6
+
+
+def test_nearest_medians_are_those_of_all_pairs():
+    from skyfold.functions import shapes
+
+    r = np.random.default_rng(1)
+    for t in range(120):
+        n, m, k = r.integers(1, 60), r.integers(1, 200), r.integers(1, 9)
+        q, g, v = r.integers(0, 30, (n, 2)).astype(float), r.integers(0, 30, (m, 2)).astype(float), r.normal(size=m)
+        g[:, 0] += 500 * (t % 3 == 0)
+        d2 = ((q[:, None] - g[None]) ** 2).sum(2)
+        assert np.allclose(shapes.nearest_median(q, g, v, k), [np.median(v[np.lexsort((np.arange(m), d2[i]))[:k]]) for i in range(n)])
+
+
+def _square(spark, size=10.0):
+    c = [(0.0, 0.0), (size, 0.0), (size, size), (0.0, size)]
+    return spark.createDataFrame([(1, [(*a, *b) for a, b in zip(c, c[1:] + c[:1])])], "fid int, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+
+
+def test_elevated_points_need_ground(spark):
+    from skyfold.operators import clip
+
+    rows = [(1, 5.0, 5.0, 40.0, 6), (2, 6.0, 5.0, 40.0, 1), (3, 6.0, 6.0, 30.2, 28), (4, 6.0, 7.0, 40.0, 5), (5, 30.0, 5.0, 40.0, 6), (6, 10.0, 10.0, 40.0, 6)]
+    columns = "pid int, x double, y double, z double, cls int"
+    cut = lambda rows: sorted(r.pid for r in clip.clip(spark.createDataFrame(rows, columns), _square(spark), 20.0, 2.0, 1.5).collect())
+    assert cut(rows) == [1, 6]
+    assert cut([*rows, (7, 11.5, 5.0, 30.0, 2)]) == [1, 2, 6]
+    assert cut([*rows, (7, 12.5, 5.0, 30.0, 2)]) == [1, 6]  # too far away
+    assert cut([]) == []
+
+
+def test_a_point_of_an_unknown_class_is_an_error(spark):
+    from skyfold.operators import clip
+
+    with pytest.raises(Exception, match="unknown class 17"):
+        clip.clip(spark.createDataFrame([(1, 5.0, 5.0, 40.0, 17)], "pid int, x double, y double, z double, cls int"), _square(spark), 20.0, 2.0, 1.5).collect()
+
+
+def test_a_step_between_two_flat_roofs_is_cut():
+    xy = np.array([(0.125 + i / 4, 0.125 + j / 4) for i in range(48) for j in range(32)])
+    points = np.column_stack((xy, np.where(xy[:, 0] < 7, 44.0, 48.0)))
+    outline = [np.array([(0, 0), (12, 0), (12, 8), (0, 8)], float)]
+    row = partition.reconstruct(outline, points, 30.0)
+    assert row["status"] == "ok" and row["n_faces"] == 2 and abs(row["volume_m3"] - (7 * 8 * 14 + 5 * 8 * 18)) < 1e-6
+    turn = np.array([[np.cos(0.3), -np.sin(0.3)], [np.sin(0.3), np.cos(0.3)]])
+    row = partition.reconstruct([outline[0] @ turn.T], np.column_stack((xy @ turn.T, points[:, 2])), 30.0)
+    assert row["status"] == "ok" and abs(row["volume_m3"] - (7 * 8 * 14 + 5 * 8 * 18)) < 1.0
