@@ -21,7 +21,7 @@ def _human(size: float | None) -> str:
     return "?" if size is None else f"{size:.0f} {unit}"
 
 
-def plan(area: config.StudyArea, manifest: dict[str, config.Source], raw: str) -> list[dict]:
+def plan(area: config.Entry, manifest: dict[str, config.Source], raw: str) -> list[dict]:
     """What an area needs: each member with its archive, its file here, its size and whether it is pinned and present."""
     wanted = [(f"{t}_2015.las", config.lidar_archive_for(t, manifest)) for t in area.bbox.lidar_tiles()]
     wanted += [(m, config.reference_archive_for(m, manifest)) for m in area.reference_tiles]
@@ -62,7 +62,7 @@ def _session(master: str | None):
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def load(tables: sinks.AreaTables, area: config.StudyArea, footprints: str, layer: str, gml: str, margin: float = 50.0) -> dict[str, int]:
+def load(tables: sinks.AreaTables, area: config.Entry, footprints: str, layer: str, gml: str, margin: float = 50.0) -> dict[str, int]:
     """Replace an area's inputs; what was derived from the old ones goes with them."""
     from pyspark.sql import functions as F
 
@@ -79,30 +79,104 @@ def load(tables: sinks.AreaTables, area: config.StudyArea, footprints: str, laye
     return counts
 
 
-def reconstruct(tables: sinks.AreaTables, area: config.StudyArea, raw: str, limit: int | None, force: bool) -> dict:
-    """Reconstruct the outlines that have no row yet, and keep the rows that others have."""
+def _points(spark, area, raw: str):
+    """The area's points of the classes in use: pid, x, y, z, cls."""
     from pyspark.sql import functions as F
 
-    from skyfold.operators import clip, partition, spatial
+    from skyfold.operators import clip
     from skyfold.sources import las
 
+    lidar_paths(raw, area.bbox.lidar_tiles())
+    b = area.bbox
+    found = las.read_points(spark, raw, classes=clip.USED, bbox=(b.xmin - 50, b.ymin - 50, b.xmax + 50, b.ymax + 50))
+    return found.select(F.concat_ws("|", "tile", F.col("point_id").cast("string")).alias("pid"), "x", "y", "z", F.col("classification").cast("int").alias("cls"))
+
+
+def _area_of(edges):
+    from pyspark.sql import functions as F
+
+    return F.abs(F.aggregate(edges, F.lit(0.0), lambda a, e: a + e.x1 * e.y2 - e.x2 * e.y1)) / 2
+
+
+#: Outlines that are reconstructed and committed together.
+BATCH = 2_000
+
+
+def reconstruct(tables: sinks.AreaTables, area, raw: str, limit: int | None, force: bool, batch: int = BATCH) -> dict:
+    """Reconstruct the outlines that have no row yet, and commit a batch of rows, faces and solids at a time."""
+    from pyspark.sql import functions as F
+
+    from skyfold.functions import solids
+    from skyfold.operators import clip, partition, spatial
+
     began, spark, run_id = time.time(), tables.spark, sinks.new_run_id()
+    made = ("reconstructions", "roof_faces", "roof_points", "solids")
+    if force:
+        tables.replace(area.name, {}, keep=tuple(n for n in tables.current(area.name) if n not in (*made, "building_results")))
     shapes = tables.table(area.name, "footprints")
-    done = None if force or "reconstructions" not in tables.current(area.name) else tables.table(area.name, "reconstructions")
+    done = None if "reconstructions" not in tables.current(area.name) else tables.table(area.name, "reconstructions")
     todo = sinks.resume(shapes, done, limit)
-    lidar_paths(raw, area.bbox.lidar_tiles())
-    b = area.bbox
-    points = las.read_points(spark, raw, classes=clip.USED, bbox=(b.xmin - 50, b.ymin - 50, b.xmax + 50, b.ymax + 50)).select(F.concat_ws("|", "tile", F.col("point_id").cast("string")).alias("pid"), "x", "y", "z", F.col("classification").cast("int").alias("cls"))
-    outlines = todo.select(F.col("footprint_id").alias("fid"), "edges")
-    roof = clip.clip(points, outlines, bin_size=20.0, margin=2.0, height=1.5)
-    near = spatial.points_in_shapes(points, outlines, 20.0, 2.0)
-    ground = near.groupBy("fid").agg(clip.floor_height("z", "cls").alias("ground_z"))
-    shaped = todo.select(F.col("footprint_id").alias("fid"), "rings").join(ground, "fid", "left").fillna(0.0, ["ground_z"])
-    rows = partition.reconstruct_all(shaped, roof.select("fid", "pid", "x", "y", "z"), "fid", area.planes).withColumnRenamed("fid", "footprint_id").withColumn("run_id", F.lit(run_id))
-    new = rows if done is None else done.unionByName(rows, allowMissingColumns=True)
-    counts = tables.replace(area.name, {"reconstructions": new}, keep=("footprints", "reference_buildings", "reference_roof_surfaces"))
-    status = {r.status: r["count"] for r in tables.table(area.name, "reconstructions").where(F.col("run_id") == run_id).groupBy("status").count().collect()}
-    return {"run_id": run_id, "area": area.name, "rows": counts["reconstructions"], "status": status, "seconds": round(time.time() - began, 1)}
+    points, total = _points(spark, area, raw), todo.count()
+    part = F.pmod(F.xxhash64("footprint_id"), F.lit(max(1, -(-total // batch))))
+    for k in range(max(1, -(-total // batch)) if total else 0):
+        own = todo.where(part == k)
+        outlines = own.select(F.col("footprint_id").alias("fid"), "edges")
+        roof = clip.clip(points, outlines, bin_size=20.0, margin=2.0, height=1.5).persist()
+        near = spatial.points_in_shapes(points, outlines, 20.0, 2.0)
+        ground = near.groupBy("fid").agg(clip.floor_height("z", "cls").alias("ground_z"))
+        shaped = own.select(F.col("footprint_id").alias("fid"), "rings").join(ground, "fid", "left").fillna(0.0, ["ground_z"])
+        rows = partition.reconstruct_all(shaped, roof.select("fid", "pid", "x", "y", "z"), "fid", area.planes, area.topology).withColumnRenamed("fid", "footprint_id")
+        rows = rows.join(own.select("footprint_id", _area_of(F.col("edges")).alias("_area")), "footprint_id").withColumn("density", F.coalesce(F.try_divide("n_points", "_area"), F.lit(0.0)))
+        rows = rows.drop("_area").withColumn("run_id", F.lit(run_id)).persist()
+        tables.append(
+            area.name, "reconstructions", rows.drop("faces", "solid"),
+            roof_faces=rows.select("footprint_id", F.inline("faces")),
+            roof_points=roof.select(F.col("fid").alias("footprint_id"), "x", "y", "z", "cls"),
+            solids=rows.where("solid is not null").select("footprint_id", solids.polyhedral_wkt(F.col("solid.surfaces"), F.col("solid.vertices")).alias("wkt"), F.transform("solid.surfaces", lambda x: x["kind"]).alias("surface_kinds")),
+        )
+        rows.unpersist(), roof.unpersist()
+    status = {}
+    if "reconstructions" in tables.current(area.name):
+        status = {r.status: r["count"] for r in tables.table(area.name, "reconstructions").where(F.col("run_id") == run_id).groupBy("status").count().collect()}
+    return {"run_id": run_id, "area": area.name, "rows": sum(status.values()), "status": status, "seconds": round(time.time() - began, 1)}
+
+
+def evaluate(tables: sinks.AreaTables, area) -> int:
+    """Score the area's reconstructions against its reference and replace building_results; the number of rows."""
+    from pyspark.sql import functions as F
+
+    from skyfold.operators import assessment
+
+    t = lambda name: tables.table(area.name, name)
+    face = F.struct("face", "plane_index", "nx", "ny", "nz", "d", "rings")
+    faces = t("roof_faces").groupBy("footprint_id").agg(F.array_sort(F.collect_list(face)).alias("faces"))
+    made = t("reconstructions").select("footprint_id", "status", "reason", "warnings", "density").join(faces, "footprint_id", "left")
+    made = made.withColumn("faces", F.coalesce("faces", F.array().cast(faces.schema["faces"].dataType)))
+    buildings = t("reference_buildings").select(F.col("gml_id").alias("building_id"), "is_grouped")
+    roofs = t("reference_roof_surfaces").select(F.col("gml_id").alias("building_id"), "ordinal", "ring", "area_m2", "slope_deg")
+    rows = assessment.evaluate(t("footprints").select("footprint_id", "lidar_derived", "edges"), made, buildings, roofs, t("roof_points"))
+    keep = tuple(n for n in tables.current(area.name) if n != "building_results")
+    return tables.replace(area.name, {"building_results": rows.withColumn("area", F.lit(area.name))}, keep=keep)["building_results"]
+
+
+def export_scene(tables: sinks.AreaTables, area, out: str) -> dict:
+    """Write scene.json and scene.bin of an evaluated area. What comes to the driver is the sample of points and one area's roofs."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    from skyfold.operators import area_scene
+
+    t = lambda name: tables.table(area.name, name)
+    results = t("building_results") if "building_results" in tables.current(area.name) else tables.spark.createDataFrame([], "footprint_id string, building_id string, status string, sum_sq_m2 double, n_valid_cells int, rmse_m double, coverage double, share double")
+    outlines = [json.loads(x) for x in area_scene.listed(t("footprints"), t("reconstructions"), results).toJSON().collect()]
+    roofs = t("reference_roof_surfaces")
+    owners = tables.spark.createDataFrame([(f["footprint_id"], i) for i, f in enumerate(outlines)], "footprint_id string, owner int")
+    own = area_scene.triangles(area_scene.raised(t("roof_faces")), "footprint_id").join(F.broadcast(owners), "footprint_id")
+    points = area_scene.sample(area_scene.without_outliers(t("roof_points"), roofs), area_scene.QUOTAS)
+    reference = area_scene.triangles(roofs.select("gml_id", F.array("ring").alias("rings")), "gml_id").withColumn("owner", F.lit(65535))
+    shown = own.select("x", "y", "z", "owner").unionByName(reference.select("x", "y", "z", "owner"))
+    return sinks.export_scene(points, shown, os.path.join(out, "scene"), lambda: {"area": area.name, "footprints": outlines})
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -111,7 +185,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--raw", default="data/raw"), p.add_argument("--tables", default="data/tables"), p.add_argument("--out", default="data/out"), p.add_argument("--master")
     c = p.add_subparsers(dest="command", required=True)
     c.add_parser("version"), c.add_parser("areas"), c.add_parser("export")
-    for name in ("plan", "fetch", "verify", "checksums", "load", "reconstruct", "report"):
+    for name in ("plan", "fetch", "verify", "checksums", "load", "reconstruct", "evaluate", "report", "export-scene"):
         q = c.add_parser(name)
         q.add_argument("-a", "--area", required=True)
         if name in ("fetch", "reconstruct"):
@@ -158,6 +232,12 @@ def main(argv: list[str] | None = None) -> int:
         os.makedirs(a.out, exist_ok=True)
         sinks.write_log(os.path.join(a.out, f"{run['run_id']}.json"), run)
         print(run)
+    elif a.command == "evaluate":
+        print(f"{evaluate(tables, area)} rows of building results")
+        os.makedirs(a.out, exist_ok=True)
+        sinks.write_csv(tables.table(area.name, "building_results"), os.path.join(a.out, "building_results.csv"), ("orientation_errors_deg",))
+    elif a.command == "export-scene":
+        print(f"{export_scene(tables, area, a.out)['bytes']} bytes")
     elif a.command == "report":
         results = tables.table(area.name, "building_results")
         os.makedirs(a.out, exist_ok=True)

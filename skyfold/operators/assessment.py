@@ -153,7 +153,7 @@ def evaluate(footprints: DataFrame, reconstructions: DataFrame, buildings: DataF
     rows = rows.join(middle, "building_id", "left").select(
         "building_id", "footprint_id", status.alias("status"), "roof_type", "outline_area_m2", "share", F.col("density").alias("point_density"), "lidar_derived",
         *(F.when(assigned, F.coalesce(c, F.lit(0))).cast("int").alias(c) for c in ("n_ref_cells", "n_valid_cells")), F.when(assigned, F.coalesce("sum_sq_m2", F.lit(0.0))).alias("sum_sq_m2"),
-        "rmse_m", "coverage", "temporal_offset_m", "bias_m", "orientation_errors_deg", "orientation_median_deg",
+        "rmse_m", "coverage", "temporal_offset_m", "bias_m", "n_cells", "n_bad", "bad_median_m", "rest_rmse_m", "orientation_errors_deg", "orientation_median_deg",
         "n_pred_planes", "n_ref_planes", "n_unmatched_pred", "n_unmatched_ref", "n_pred_faces", "n_ref_faces", "face_count_agreement", "reason", "warnings",
     )
     unused = footprints.join(shares.select("footprint_id").distinct(), "footprint_id", "left_anti").join(reconstructions.select("footprint_id", "density", "reason", "warnings"), "footprint_id", "left")

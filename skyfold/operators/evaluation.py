@@ -39,12 +39,17 @@ def score_cells(cells: DataFrame, key: list[str], unit: float = 1.0) -> DataFram
     metre: sums are taken in that unit and divided once."""
     both = F.col("z_ref").isNotNull() & F.col("z_pred").isNotNull()
     error = F.when(both, F.col("z_pred") - F.col("z_ref"))
+    bad = F.abs(error) > BAD_CELL_M * unit
     out = cells.groupBy(*key).agg(
         F.count("z_ref").alias("n_ref_cells"),
         F.count_if(both).alias("n_valid_cells"),
         (F.coalesce(F.sum(error * error), F.lit(0.0)) / (unit * unit)).alias("sum_sq_m2"),
         (F.median(F.col("z_lidar") - F.col("z_ref")) / unit).alias("temporal_offset_m"),
         (F.median(error) / unit).alias("bias_m"),
+        F.nullif(F.count_if(both), F.lit(0)).alias("n_cells"),
+        F.when(F.count_if(both) > 0, F.count_if(bad)).alias("n_bad"),
+        (F.median(F.when(bad, error)) / unit).alias("bad_median_m"),
+        (F.sqrt(F.avg(F.when(~bad, error * error))) / unit).alias("rest_rmse_m"),
     )
     return out.withColumn("rmse_m", F.sqrt(F.try_divide("sum_sq_m2", "n_valid_cells"))).withColumn("coverage", F.try_divide("n_valid_cells", "n_ref_cells"))
 
@@ -175,25 +180,50 @@ def no_reference(footprints: DataFrame, rows: DataFrame) -> DataFrame:
     return footprints.join(rows.where("footprint_id is not null").select("footprint_id").distinct(), "footprint_id", "left_anti")
 
 
+# The sentences of the report, by the rules' order; {} is a number or a name.
+SENTENCES = {
+    "changed": "The LiDAR is {} m from the reference: probably changed between 2015 and 2016.",
+    "failed": "Not reconstructed (`{}`){}.",
+    "coverage": "The reconstruction covers only {}% of the reference roof.",
+    "share": "Only {}% of the reference roof lies in the footprint; the rest is scored against nothing.",
+    "bias": "The whole roof sits {} m {} the reference.",
+    "tilt": "Planes tilted: median orientation error {}°.",
+    "none": "No single pattern; see the difference panel.",
+    "spread": "Spread error: no cell is off by more than 1 m.",
+    "part": "{}: {}% of cells by more than 1 m, mostly {}; the rest within {} m RMSE.",
+}
+
+
+def _say(rule: str, *values) -> Column:
+    """A sentence with its gaps filled."""
+    pieces = SENTENCES[rule].split("{}")
+    told = [F.lit(pieces[0])]
+    for value, piece in zip(values, pieces[1:], strict=True):
+        told += [value, F.lit(piece)]
+    return F.concat(*told)
+
+
 def diagnosis() -> Column:
     """One line on each result, by the first rule that holds. Needs bias_m, and of the cells off by
     more than BAD_CELL_M n_cells, n_bad, bad_median_m, and the RMSE of the rest rest_rmse_m; null without cells."""
-    pct = lambda c: F.concat(F.bround(c * 100, 0).cast("int").cast("string"), F.lit("%"))
-    num = lambda c, d: F.format_string(f"%.{d}f", F.bround(c, d))
-    c, s = F.col, F.lit
-    side = F.when(c("bad_median_m") > 0, "too high").otherwise("too low")
-    kind = F.when(c("n_bad") / c("n_cells") >= 0.05, "One part of the roof is off").otherwise("Small, isolated errors")
-    return (
-        F.when((c("status") == "suspect-temporal") & c("temporal_offset_m").isNotNull(), F.concat(s("The LiDAR is "), F.format_string("%+.1f", F.bround("temporal_offset_m", 1)), s(" m from the reference: probably changed between 2015 and 2016.")))
-        .when(~c("status").isin(*RECONSTRUCTED), F.concat(s("Not reconstructed (`"), c("status"), s("`)"), F.when(F.coalesce("reason", s("")) != "", F.concat(s(": "), c("reason"))).otherwise(""), s(".")))
-        .when(c("coverage") < 0.9, F.concat(s("The reconstruction covers only "), pct(c("coverage")), s(" of the reference roof.")))
-        .when(c("share") < 0.9, F.concat(s("Only "), pct(c("share")), s(" of the reference roof lies in the footprint; the rest is scored against nothing.")))
-        .when((c("rmse_m") > 0) & (F.abs("bias_m") > 0.5) & (F.abs("bias_m") > 0.7 * c("rmse_m")), F.concat(s("The whole roof sits "), num(F.abs("bias_m"), 1), s(" m "), F.when(c("bias_m") > 0, "above").otherwise("below"), s(" the reference.")))
-        .when(c("orientation_median_deg") > 5.0, F.concat(s("Planes tilted: median orientation error "), num(c("orientation_median_deg"), 1), s("°.")))
-        .when(c("n_cells").isNull(), "No single pattern; see the difference panel.")
-        .when(c("n_bad") == 0, f"Spread error: no cell is off by more than {BAD_CELL_M:.0f} m.")
-        .otherwise(F.concat(kind, s(": "), pct(c("n_bad") / c("n_cells")), s(f" of cells by more than {BAD_CELL_M:.0f} m, mostly "), side, s("; the rest within "), num(F.coalesce("rest_rmse_m", s(0.0)), 2), s(" m RMSE.")))
-    )
+    c = F.col
+    percent = lambda x: F.bround(x * 100, 0).cast("int").cast("string")
+    number = lambda x, digits, form="%": F.format_string(f"{form}.{digits}f", F.bround(x, digits))
+    choose = lambda test, yes, no: F.when(test, yes).otherwise(no)
+    why = choose(F.coalesce("reason", F.lit("")) != "", F.concat(F.lit(": "), c("reason")), "")
+    spread = c("n_bad") / c("n_cells")
+    rules = [
+        ((c("status") == "suspect-temporal") & c("temporal_offset_m").isNotNull(), _say("changed", number(c("temporal_offset_m"), 1, "%+"))),
+        (~c("status").isin(*RECONSTRUCTED), _say("failed", c("status"), why)),
+        (c("coverage") < 0.9, _say("coverage", percent(c("coverage")))),
+        (c("share") < 0.9, _say("share", percent(c("share")))),
+        ((c("rmse_m") > 0) & (F.abs("bias_m") > 0.5) & (F.abs("bias_m") > 0.7 * c("rmse_m")), _say("bias", number(F.abs("bias_m"), 1), choose(c("bias_m") > 0, "above", "below"))),
+        (c("orientation_median_deg") > 5.0, _say("tilt", number(c("orientation_median_deg"), 1))),
+        (c("n_cells").isNull(), _say("none")),
+        (c("n_bad") == 0, _say("spread")),
+    ]
+    last = _say("part", choose(spread >= 0.05, "One part of the roof is off", "Small, isolated errors"), percent(spread), choose(c("bad_median_m") > 0, "too high", "too low"), number(F.coalesce("rest_rmse_m", F.lit(0.0)), 2))
+    return F.coalesce(*(F.when(test, text) for test, text in rules), last)
 
 
 def regressions(baseline: DataFrame, measured: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 from skyfold.operators import extrude, planes, topology
 
+SOLID = "struct<vertices:array<struct<x:double,y:double,z:double>>,surfaces:array<struct<kind:string,rings:array<array<int>>,face:int>>>"
 FACES = "array<struct<face:int,plane_index:int,nx:double,ny:double,nz:double,d:double,rings:array<array<struct<x:double,y:double>>>>>"
 ADJACENT_M, ADJACENT_POINTS, LEAST_AREA_M2 = 0.75, 3, 1e-6
 LEAST_EDGE_M, ALIGN_DEG = 2.0, 15.0
@@ -222,10 +223,18 @@ def faces(pieces: list[tuple[int, np.ndarray]], found: list[tuple[np.ndarray, np
     return out
 
 
-def reconstruct(outline: list[np.ndarray], points: np.ndarray, ground: float, planes_params: planes.PlaneParams | None = None, p: RoofParams | None = None) -> dict:
+def _solid(solid: extrude.Solid | None, origin: np.ndarray, found: list, pieces: list) -> dict | None:
+    """The solid's vertices in the coordinates that have the origin, and its surfaces; a roof surface's face is its plane."""
+    if solid is None:
+        return None
+    vertices = [{"x": float(x), "y": float(y), "z": float(z)} for x, y, z in solid.vertices + [*origin, 0.0]]
+    return {"vertices": vertices, "surfaces": [{"kind": kind, "rings": rings, "face": None if f is None else pieces[f][0]} for kind, rings, f in solid.surfaces]}
+
+
+def reconstruct(outline: list[np.ndarray], points: np.ndarray, ground: float, planes_params: planes.PlaneParams | None = None, p: RoofParams | None = None, topology_params: topology.TopologyParams | None = None) -> dict:
     """Status, counts, volume and faces of one outline's roof points (n, 3), and why it failed if it did. outline: all rings, of holes and further parts too."""
     p = p or RoofParams()
-    row = {"status": "ok", "reason": None, "n_points": len(points), "n_planes": 0, "n_faces": 0, "volume_m3": None, "faces": []}
+    row = {"status": "ok", "reason": None, "n_points": len(points), "n_planes": 0, "n_faces": 0, "volume_m3": None, "faces": [], "solid": None, "warnings": []}
     if len(points) < p.min_points:
         return row | {"status": "too-few-points", "reason": f"{len(points)} points, {p.min_points} needed"}
     origin = np.asarray(outline[0], float)[0]
@@ -233,20 +242,21 @@ def reconstruct(outline: list[np.ndarray], points: np.ndarray, ground: float, pl
     found = planes.detect(points, planes_params)
     if not found:
         return row | {"status": "no-planes", "reason": "no plane found"}
-    solved = topology.refine(points, found, outline)
+    solved = topology.refine(points, found, outline, topology_params)
+    row["warnings"] = list(solved.warnings)
     if solved.status != "ok":
         return row | {"status": "solver-failed", "reason": solved.reason, "n_planes": len(found)}
     found = [(plane, rows) for plane, (_, rows) in zip(solved.planes, found, strict=True)]
     pieces = partition(outline, points, found)
     solid, problems = extrude.extrude([(found[k][0], [ring]) for k, ring in pieces], ground)
-    row |= {"n_planes": len(found), "n_faces": count_faces(pieces), "volume_m3": solid.volume() if solid else None, "faces": faces(pieces, found, origin)}
+    row |= {"n_planes": len(found), "n_faces": count_faces(pieces), "volume_m3": solid.volume() if solid else None, "faces": faces(pieces, found, origin), "solid": _solid(solid, origin, found, pieces)}
     return row | ({"status": "not-watertight", "reason": "; ".join(problems)} if problems else {})
 
 
-def reconstruct_all(footprints: DataFrame, points: DataFrame, key: str, params: planes.PlaneParams | None = None) -> DataFrame:
+def reconstruct_all(footprints: DataFrame, points: DataFrame, key: str, params: planes.PlaneParams | None = None, topology_params: topology.TopologyParams | None = None) -> DataFrame:
     """A row for every outline (key, rings of structs x, y, or one ring, and ground_z), whatever becomes of it. points: key, pid, x, y, z in the same metres."""
     kind = footprints.schema[key].dataType.simpleString()
-    names = [key, "status", "reason", "n_points", "n_planes", "n_faces", "volume_m3", "faces"]
+    names = [key, "status", "reason", "n_points", "n_planes", "n_faces", "volume_m3", "faces", "solid", "warnings"]
     whole = "rings" in footprints.columns
 
     def run(f: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
@@ -256,10 +266,10 @@ def reconstruct_all(footprints: DataFrame, points: DataFrame, key: str, params:
         try:
             rings = f.rings.iloc[0] if whole else [f.ring.iloc[0]]
             rings = [np.array([(c["x"], c["y"]) for c in r], float) for r in rings]
-            row = reconstruct(rings, p[["x", "y", "z"]].to_numpy(float), float(f.ground_z.iloc[0]), params)
+            row = reconstruct(rings, p[["x", "y", "z"]].to_numpy(float), float(f.ground_z.iloc[0]), params, topology_params=topology_params)
         except Exception as e:  # a failure is a row, not the end of the run
-            row = {"status": "error", "reason": f"{type(e).__name__}: {e}", "n_points": len(p), "n_planes": 0, "n_faces": 0, "volume_m3": None, "faces": []}
+            row = {"status": "error", "reason": f"{type(e).__name__}: {e}", "n_points": len(p), "n_planes": 0, "n_faces": 0, "volume_m3": None, "faces": [], "solid": None, "warnings": []}
         return pd.DataFrame([{key: f[key].iloc[0]} | row], columns=names).astype({"volume_m3": float})
 
-    schema = f"{key} {kind}, status string, reason string, n_points bigint, n_planes int, n_faces int, volume_m3 double, faces {FACES}"
+    schema = f"{key} {kind}, status string, reason string, n_points bigint, n_planes int, n_faces int, volume_m3 double, faces {FACES}, solid {SOLID}, warnings array<string>"
     return footprints.groupBy(key).cogroup(points.groupBy(key)).applyInPandas(run, schema)

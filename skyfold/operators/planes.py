@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+# The names and defaults of the parameters.
 @dataclass(frozen=True)
 class PlaneParams:
     threshold: float = 0.15

@@ -45,7 +45,20 @@ def test_commands(spark, folder, capsys):
     got = {r.footprint_id: r for r in AreaTables(spark, f"file://{folder}/tables").table("a", "reconstructions").collect()}
     assert got["fp-1"].status == "ok" and got["fp-1"].n_planes == 2 and got["fp-1"].n_faces == 2
     assert got["fp-2"].status == "too-few-points"
+    tables = AreaTables(spark, f"file://{folder}/tables")
+    assert tables.table("a", "roof_faces").where("footprint_id = 'fp-1'").count() == 2
+    solid = tables.table("a", "solids").where("footprint_id = 'fp-1'").first()
+    assert solid.wkt.startswith("POLYHEDRALSURFACE Z (((") and sorted(set(solid.surface_kinds)) == ["floor", "roof", "wall"]
+    assert cli.main([*base, "evaluate", "-a", "a"]) == 0 and cli.main([*base, "report", "-a", "a"]) == 0
+    rows = {r.building_id: r for r in tables.table("a", "building_results").collect()}
+    assert rows["V1"].status == "ok" and rows["V1"].footprint_id == "fp-1" and rows["V1"].share > 0.999 and rows["V1"].coverage == 1 and 0.8 < rows["V1"].rmse_m < 1.4
+    assert rows["V1"].n_ref_faces == 1 and rows["V1"].n_pred_faces == 2 and rows["fp-2"].status == "no-reference" and len(rows) == 2
+    assert "V1" in (folder / "out" / "gallery.md").read_text() and "all buildings" in (folder / "out" / "breakdown.md").read_text()
+    assert cli.main([*base, "export-scene", "-a", "a"]) == 0
+    told = json.loads((folder / "out" / "scene" / "scene.json").read_text())
+    assert told["arrays"]["points"]["length"] > 0 and told["arrays"]["triangles"]["length"] > 0 and [b["building_id"] for f in told["footprints"] for b in f["buildings"]] == ["V1"]
+    assert cli.main([*base, "reconstruct", "-a", "a", "--force"]) == 0 and "building_results" not in tables.current("a")
     with pytest.raises(NotImplementedError):
         cli.main([*base, "export"])
-    with pytest.raises(FileNotFoundError, match="available"):
+    with pytest.raises(FileNotFoundError, match="no area zz"):
         cli.main([*base, "plan", "-a", "zz"])

@@ -98,10 +98,18 @@ def test_archive_over_ranges(tmp_path):
 def test_areas_and_manifest(tmp_path):
     area = config.StudyArea.parse("name: a\nbbox: {xmin: 292347.25, ymin: 5034885, xmax: 293000, ymax: 5035969.5}\nreference_tiles: [T1]\nplanes: {seed: 3}")
     assert area.bbox.lidar_tiles() == ["292-5034", "292-5035", "293-5034", "293-5035"] and area.planes.seed == 3
-    with pytest.raises(ValueError, match="unknown planes"):
+    with pytest.raises(ValueError, match="sed is no key"):
         config.StudyArea.parse("name: a\nbbox: {xmin: 0, ymin: 0, xmax: 1, ymax: 1}\nplanes: {sed: 3}")
-    with pytest.raises(ValueError, match="degenerate"):
+    with pytest.raises(ValueError, match="no extent along x"):
         config.BBox(1, 0, 1, 1)
+    area = config.StudyArea.parse("name: a\nbbox: {xmin: 0, ymin: 0, xmax: 1, ymax: 1}\ntopology: {corner_sigma_m: 0.5}")
+    assert area.topology.corner_sigma_m == 0.5 and area.planes.seed == 0
+    with pytest.raises(ValueError, match="corner is no key"):
+        config.StudyArea.parse("name: a\nbbox: {xmin: 0, ymin: 0, xmax: 1, ymax: 1}\ntopology: {corner: 1}")
+    with pytest.raises(ValueError, match="name is missing; bbox: bounds: ymax is missing"):
+        config.StudyArea.parse("bbox: {xmin: 0, ymin: 0, xmax: 1}")
+    with pytest.raises(ValueError, match="is no SHA-256"):
+        config.load_manifest("sources:\n  a: {url: u, sha256: abc}")
     digest = "0" * 64
     m = config.load_manifest(f"sources:\n  lidar_290-294:\n    kind: archive\n    url: u\n    members:\n      t.las: {{sha256: '{digest}', size: 3}}")
     assert m["lidar_290-294"].member("t.las").is_pinned and not m["lidar_290-294"].member("z").is_pinned
@@ -120,6 +128,13 @@ def test_area_tables_change_together(spark, tmp_path):
     assert t.replace("a", {"x": spark.range(3), "y": spark.range(2)}) == {"x": 3, "y": 2}
     t.replace("a", {"x": spark.range(5)})
     assert t.table("a", "x").count() == 5 and set(t.current("a")) == {"x"}
+    t.append("a", "x", spark.range(2))
+    t.append("a", "z", spark.range(1))
+    assert t.table("a", "x").count() == 7 and t.table("a", "z").count() == 1 and t.current("b") == {}
+    (tmp_path / "a" / "part-of-a-killed-run").write_text("{")  # is never read
+    assert t.table("a", "x").count() == 7
+    t.replace("a", {"y": spark.range(1)}, keep=("x",))
+    assert t.table("a", "x").count() == 7 and set(t.current("a")) == {"x", "y"}
     runs = spark.createDataFrame([("f", "1", "ok"), ("f", "2", "error")], "footprint_id string, run_id string, status string")
     assert sinks.latest(runs).first().status == "error"
     todo = spark.createDataFrame([("f",), ("g",), ("h",)], "footprint_id string")
