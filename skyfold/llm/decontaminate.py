@@ -130,17 +130,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, perce
     placed = placed.groupBy("item_row", "n", "k", F.xxhash64("shingle").alias("h")).agg(F.collect_set("at").alias("ats"))
     widths = sorted(r["k"] for r in placed.select("k").distinct().collect())
     few = placed.count() <= broadcast_shingles
-    source = docs.select("doc_id", words(F.col("text")).alias("w"))
+    source = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("row", F.xxhash64("doc_id", "w"))
     found = None
     for k in widths:
         # a row a word; the shingle is put together from the array beside it
-        row = source.where(F.size("w") >= k).select("doc_id", "w", F.posexplode("w").alias("pos", "word")).where(F.col("pos") <= F.size("w") - k)
+        row = source.where(F.size("w") >= k).select("doc_id", "row", "w", F.posexplode("w").alias("pos", "word")).where(F.col("pos") <= F.size("w") - k)
         text = F.concat_ws(" ", "word", *(F.element_at("w", F.col("pos") + 1 + i) for i in range(1, k)))
         seed = placed.where(F.col("k") == k)
-        hit = row.withColumn("h", F.xxhash64(text)).join(F.broadcast(seed) if few else seed, "h")
+        # a join by shuffle takes no words along: the windows' words are looked up after it
+        row = row.withColumn("h", F.xxhash64(text)).withColumn("m", F.size("w"))
+        hit = row.join(F.broadcast(seed), "h") if few else row.drop("w", "word").join(seed, "h")
         stretch = F.floor(F.col("pos") / F.col("n")).cast("int")
         hit = hit.withColumn("stretch", F.explode(F.when(stretch > 0, F.array(stretch - 1, stretch)).otherwise(F.array(stretch))))
-        part = hit.select("doc_id", F.xxhash64("doc_id", "w").alias("row"), "item_row", "stretch", "n", "k", F.size("w").alias("m"), F.struct("pos", "h", "ats").alias("hit"), F.slice("w", F.col("stretch") * F.col("n") + 1, 2 * F.col("n")).alias("seg"))
+        seg = F.slice("w", F.col("stretch") * F.col("n") + 1, 2 * F.col("n")) if few else F.lit(None).cast("array<string>")
+        part = hit.select("doc_id", "row", "item_row", "stretch", "n", "k", "m", F.struct("pos", "h", "ats").alias("hit"), seg.alias("seg"))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.select("doc_id").crossJoin(benchmark.select("item_id")).where("false").select("doc_id", "item_id", F.lit(0).alias("start_word"), F.lit(0).cast("bigint").alias("n_shared"), F.lit(0).cast("bigint").alias("n_union"))
@@ -149,6 +152,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, perce
     need = F.greatest(F.lit(1), F.floor((both * percent + 99 + percent) / (100 + percent)).cast("int"))
     groups = found.groupBy("row", "item_row", "stretch", "n", "k", "m").agg(F.first("doc_id").alias("doc_id"), F.first("seg").alias("seg"), F.collect_set("hit").alias("hits"))
     groups = groups.withColumn("need", need).where(F.size("hits") >= F.col("need"))
+    if not few:
+        seg = F.slice("w", F.col("stretch") * F.col("n") + 1, 2 * F.col("n"))
+        groups = groups.drop("seg").join(source.select("row", "w").dropDuplicates(["row"]), "row").withColumn("seg", seg).drop("w")
     first = F.col("stretch") * F.col("n")
     kept = _let(F.array_sort("hits"), lambda hits: _kept(hits, F.col("n"), F.col("k"), F.col("m"), first, F.col("need")))
     windows = groups.select("doc_id", "item_row", "n", "k", "seg", first.alias("first"), F.inline(kept))

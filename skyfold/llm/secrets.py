@@ -214,6 +214,28 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.groupBy("key").agg(F.bit_or(F.element_at(bit, F.col("asked") + 1)).alias("mask"))
 
 
+#: Matches, and characters, that are folded or cut together; a fold copies what it has for each, so it is taken in two levels.
+FOLD, PIECE = 256, 4096
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _walk(items: Column, kind: str, step) -> tuple[Column, Column]:
+    """Go along items from place 0: step(at, x) gives the next place and what it adds, an array of the kind. All that was
+    added, and the last place."""
+    none = F.array().cast(kind)
+    grow = lambda a, x: _let(step(a["at"], x), lambda s: F.struct(s["at"].alias("at"), F.concat(a["out"], s["add"]).alias("out")))
+    inner = lambda a, part: F.aggregate(part, F.struct(a["at"].alias("at"), none.alias("out")), grow)
+    outer = lambda a, part: _let(inner(a, part), lambda s: F.struct(s["at"].alias("at"), F.concat(a["out"], F.array(s["out"])).alias("out")))
+    parts = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / FOLD).cast("int")), lambda i: F.slice(x, i * FOLD + 1, FOLD))
+    whole = _let(items, lambda x: F.when(F.size(x) > 0, F.aggregate(parts(x), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), outer)))
+    return F.coalesce(F.flatten(whole["out"]), none), F.coalesce(whole["at"], F.lit(0))
+
+
 def _rule_spans(rule: Rule, order: int, text: Column) -> Column:
     """The rule's spans as structs (start, kind's place, end), in order of place."""
     pattern = F.lit(rule.pattern)
@@ -222,16 +244,13 @@ def _rule_spans(rule: Rule, order: int, text: Column) -> Column:
     # between the matches lie the pieces that a split at the pattern leaves
     gaps = F.transform(F.split(text, rule.pattern, -1), F.char_length)
     tested = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.char_length) if rule.group else lengths
-    walked = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), lengths.alias("n"), tested.alias("tested")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("found")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.coalesce(x["n"], F.lit(0))).alias("at"),
-            F.when(x["tested"] >= rule.least, F.concat(a["found"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), F.lit(order).alias("kind"), (a["at"] + x["gap"] + x["n"]).alias("end"))))).otherwise(a["found"]).alias("found"),
-        ),
-        lambda a: a["found"],
-    )
-    return F.when(F.rlike(text, pattern), walked).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+
+    def step(at: Column, x: Column) -> Column:
+        span = F.struct((at + x["gap"]).alias("start"), F.lit(order).alias("kind"), (at + x["gap"] + x["n"]).alias("end"))
+        return F.struct((at + x["gap"] + F.coalesce(x["n"], F.lit(0))).alias("at"), F.when(x["tested"] >= rule.least, F.array(span)).otherwise(F.array().cast(_SPANS)).alias("add"))
+
+    walked, _ = _walk(F.arrays_zip(gaps.alias("gap"), lengths.alias("n"), tested.alias("tested")), _SPANS, step)
+    return F.when(F.rlike(text, pattern), walked).otherwise(F.array().cast(_SPANS))
 
 
 def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -240,7 +259,7 @@ def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...
     asked = [trigram_query(r.pattern) is not True for r in rules]
     mask = candidates(docs, rules).select(F.col("key").alias("_key"), F.col("mask").alias("_mask"))
     joined = source.join(mask, "_key", "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(_SPANS)
     text = F.coalesce("text", F.lit(""))
     found = [F.when(F.coalesce("_mask", F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0, _rule_spans(r, i, text)).otherwise(none) if asked[i] else _rule_spans(r, i, text) for i, r in enumerate(rules)]
     return joined.select(*keep, F.array(*found).alias("found"))
@@ -265,19 +284,33 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
     """The columns of docs, with every span of text put out: overlapping spans become one mark. n_chars follows, if it is there."""
     columns = tuple(docs.columns)
-    found = spans(docs, rules, keep=columns)
-    ordered = F.array_sort(F.flatten("found"))
-    piece = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
-    walked = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["text"], piece(a["at"], s["start"]), F.lit(mark))).otherwise(a["text"]).alias("text"),
-        ),
-        lambda a: F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))),
-    )
-    text = F.when(F.size(ordered) > 0, walked).otherwise(F.col("text"))
-    out = found.withColumn("_new", text).withColumn("_hit", F.size(ordered) > 0)
-    replaced = [F.col("_new").alias(c) if c == "text" else F.when(F.col("_hit"), F.char_length("_new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in columns]
-    return out.select(*replaced)
+    # the row goes along in one column, so that none of its names can clash
+    found = spans(docs.select(F.struct(*columns).alias("row"), "doc_id", "text"), rules, keep=("row",))
+    ordered, text = F.array_sort(F.flatten("found")), F.col("row.text")
+    # the text in pieces of PIECE characters, so that cutting out a stretch does not read the text from its beginning
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def stretch(cut: Column, a: Column, b: Column) -> Column:
+        """Characters a to b of the text, as an array of strings."""
+        one = lambda k: F.substring(F.element_at(cut, k + 1), F.greatest(a - k * PIECE, F.lit(0)) + 1, F.least(b - k * PIECE, F.lit(PIECE)) - F.greatest(a - k * PIECE, F.lit(0)))
+        first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+        return F.when(b > a, F.transform(F.sequence(first, F.greatest(first, last)), one)).otherwise(F.array().cast("array<string>"))
+
+    def put_out(cut: Column) -> Column:
+        def step(at: Column, s: Column) -> Column:
+            return F.struct(F.greatest(at, s["end"]).alias("at"), F.when(s["start"] >= at, F.concat(stretch(cut, at, s["start"]), F.array(F.lit(mark)))).otherwise(F.array().cast("array<string>")).alias("add"))
+
+        kept, at = _walk(ordered, "array<string>", step)
+        return F.array_join(F.concat(kept, stretch(cut, at, F.char_length(text))), "")
+
+    new = F.when(F.size(ordered) > 0, _let(pieces, put_out))
+    out = found.select("row", new.alias("new"))
+
+    def value(c: str) -> Column:
+        if c == "text":
+            return F.coalesce("new", text)
+        if c == "n_chars":
+            return F.when(F.col("new").isNotNull(), F.char_length("new")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType)
+        return F.col("row")[c]
+
+    return out.select(*(value(c).alias(c) for c in columns))

@@ -257,6 +257,19 @@ def test_redaction(spark):
     assert out[4].text == "[secret] é" and out[4].n_chars == 10
 
 
+def test_redaction_of_many_secrets_and_clashing_names(spark):
+    r = random.Random(4)
+    text = "".join(r.choice(["é", "word ", "\n", "𝄞", f"token={r.randrange(10**9):09d} ", "a" * 30 + " ", "AKIA" + "B" * 20 + " "]) for _ in range(9_000))
+    rows = [(1, text, 5, "f", "k", "h", "m"), (2, "plain", 5, None, "k", "h", "m"), (3, None, None, "f", "k", "h", "m"), (4, "", 0, "f", "k", "h", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, found string, _key string, _hit string, _mask string")
+    out = {x.doc_id: x for x in secrets.redact(docs).collect()}
+    want, at = "", 0
+    for a, b in sorted(tuple(map(int, x.split(":")[1:])) for x in secret_spans(text)[-1].split(",")):
+        want, at = (want + text[at:a] + "[secret]", b) if a >= at else (want, max(at, b))
+    assert out[1].text == want + text[at:] and out[1].n_chars == len(out[1].text)
+    assert [tuple(out[i]) for i in (2, 3, 4)] == rows[1:] and out[1][3:] == rows[0][3:]
+
+
 def test_redaction_of_private_keys(spark):
     line = "MIIEpAIBAAKCAQEA7bq+/x" * 2
     body = "\n".join([line] * 30 + ["Ab12+/=="])
