@@ -19,7 +19,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that of the least doc_id."""
+    """One document of each component of near copies: that of the least doc_id.
+
+    Rows of one doc_id are one document, and stay or go together. A row without doc_id is in no component and stays.
+    """
     docs = docs.select(*DOCUMENT)
     found = jaccard_trie.jaccard_components(docs, shingle=5, percent=80)
     lose = found.where("component_id <> doc_id").select("doc_id").distinct()
@@ -27,11 +30,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window that is a benchmark item or nearly so."""
-    docs = docs.select(*DOCUMENT)
+    """Documents without a window that is a benchmark item or nearly so.
+
+    Each row is judged by its own text: of rows that share a doc_id, or have none, only those that hold an item go.
+    """
+    row = F.xxhash64("doc_id", "text")
+    docs = docs.select(*DOCUMENT, row.alias("_row"))
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, benchmark, shingle=5, percent=80)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*DOCUMENT)
+    found = decontaminate.contamination(docs.select(F.col("_row").alias("doc_id"), "text"), benchmark, shingle=5, percent=80)
+    return docs.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*DOCUMENT)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
