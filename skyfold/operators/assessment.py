@@ -128,10 +128,10 @@ def evaluate(footprints: DataFrame, reconstructions: DataFrame, buildings: DataF
     footprints: footprint_id, lidar_derived, edges. reconstructions: footprint_id, status, reason, warnings, density, faces.
     buildings: building_id, is_grouped. roofs: building_id, ordinal, ring, area_m2, slope_deg. roof_points: footprint_id, x, y, z.
     """
-    outlines = roof_outlines(roofs)
+    outlines = roof_outlines(roofs).persist()  # a row a building; kernels run once
     own = buildings.join(outlines, "building_id", "left")
     single = own.where("not is_grouped")
-    shares = clip.assign(footprints.select("footprint_id", "edges"), single.select("building_id", "edges").where("edges is not null"), 20.0, name="footprint_id")
+    shares = clip.assign(footprints.select("footprint_id", "edges"), single.select("building_id", "edges").where("edges is not null"), 20.0, name="footprint_id").persist()
     given = shares.join(reconstructions, "footprint_id", "left").withColumn("status", F.coalesce("status", F.lit("error")))
     ok = given.where("status = 'ok'")
     face = F.col("f")
