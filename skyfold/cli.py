@@ -8,6 +8,7 @@ import os
 import sys
 import time
 
+from skyfold.operators import evaluation
 from skyfold.sources import archive, config, sinks
 
 VERSION = "0.1.0"
@@ -159,6 +160,18 @@ def evaluate(tables: sinks.AreaTables, area) -> int:
     return tables.replace(area.name, {"building_results": rows.withColumn("area", F.lit(area.name))}, keep=keep)["building_results"]
 
 
+def build_fixtures(tables: sinks.AreaTables, area, raw: str, folder: str, most: int) -> int:
+    """Write the outlines with reference buildings, up to a number asked for, as fixtures."""
+    from pyspark.sql import functions as F
+
+    from skyfold.sources import fixtures
+
+    results = tables.table(area.name, "building_results").where("share is not null")
+    wanted = results.select("footprint_id").distinct().orderBy("footprint_id").limit(most)
+    roofs = tables.table(area.name, "reference_roof_surfaces").select(F.col("gml_id").alias("building_id"), "ordinal", "ring")
+    return fixtures.write(folder, tables.table(area.name, "footprints").join(wanted, "footprint_id", "left_semi"), _points(tables.spark, area, raw), results.select("building_id", "footprint_id", "share"), roofs)
+
+
 def export_scene(tables: sinks.AreaTables, area, out: str) -> dict:
     """Write scene.json and scene.bin of an evaluated area. What comes to the driver is the sample of points and one area's roofs."""
     import json
@@ -185,9 +198,15 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--raw", default="data/raw"), p.add_argument("--tables", default="data/tables"), p.add_argument("--out", default="data/out"), p.add_argument("--master")
     c = p.add_subparsers(dest="command", required=True)
     c.add_parser("version"), c.add_parser("areas"), c.add_parser("export")
-    for name in ("plan", "fetch", "verify", "checksums", "load", "reconstruct", "evaluate", "report", "export-scene"):
+    for name in ("plan", "fetch", "verify", "checksums", "load", "reconstruct", "evaluate", "report", "export-scene", "fixtures"):
         q = c.add_parser(name)
-        q.add_argument("-a", "--area", required=True)
+        q.add_argument("-a", "--area", required=name != "evaluate")
+        if name in ("evaluate", "fixtures"):
+            q.add_argument("--fixtures", default="tests/fixtures")
+        if name == "evaluate":
+            q.add_argument("--smoke", action="store_true")
+        if name == "fixtures":
+            q.add_argument("--most", type=int, default=20)
         if name in ("fetch", "reconstruct"):
             q.add_argument("--force", action="store_true")
         if name == "reconstruct":
@@ -207,6 +226,12 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if a.command == "export":
         raise NotImplementedError("3D Tiles are not written; reports and scenes are")
+    if a.command == "evaluate" and a.smoke:
+        from skyfold.sources import fixtures
+
+        return int(fixtures.smoke(_session(a.master), a.fixtures, a.out))
+    if a.area is None:
+        p.error("evaluate needs an area or --smoke")
     area = config.StudyArea.load(a.area, a.areas)
     if a.command in ("plan", "fetch", "verify", "checksums"):
         with open(a.manifest) as f:
@@ -236,11 +261,14 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{evaluate(tables, area)} rows of building results")
         os.makedirs(a.out, exist_ok=True)
         sinks.write_csv(tables.table(area.name, "building_results"), os.path.join(a.out, "building_results.csv"), ("orientation_errors_deg",))
+    elif a.command == "fixtures":
+        print(f"{build_fixtures(tables, area, a.raw, a.fixtures, a.most)} fixtures")
     elif a.command == "export-scene":
         print(f"{export_scene(tables, area, a.out)['bytes']} bytes")
     elif a.command == "report":
         results = tables.table(area.name, "building_results")
         os.makedirs(a.out, exist_ok=True)
+        sinks.write_csv(evaluation.breakdown(results), os.path.join(a.out, "breakdown.csv"))
         for name, text in (("breakdown.md", sinks.breakdown_report(results, area.name)), ("gallery.md", sinks.gallery_report(results, a.gallery, area.name))):
             with open(os.path.join(a.out, name), "w") as f:
                 f.write(text)

@@ -59,6 +59,11 @@ def within(edges: Column, x: Column, y: Column, reach: float) -> Column:
     return _odd(edges, x, y) | (boundary_distance(edges, x, y) < reach)
 
 
+def wrapped(rings: Column) -> Column:
+    """Rings as structs with one field p: an array of arrays of several lengths does not pass into pandas."""
+    return F.transform(rings, lambda r: F.struct(r.alias("p")))
+
+
 def newell(ring: Column) -> Column:
     """Newell's normal (nx, ny, nz) of a ring of structs (x, y, z), twice the area long. Taken about
     the first vertex, so that large coordinates cost nothing."""

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyfold.functions import geo
 from skyfold.operators import extrude
 
 # Points shown of a class at most, and how far beneath and above the roofs points are shown.
@@ -37,13 +38,13 @@ def triangles(shapes: DataFrame, key: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, rings in zip(batch[key], batch["rings"], strict=True):
-                rings = [np.array([(p["x"], p["y"], p["z"]) for p in r], float) for r in rings]
+                rings = [np.array([(p["x"], p["y"], p["z"]) for p in r["p"]], float) for r in rings]
                 rings = [r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r for r in rings]
                 if len(rings[0]) >= 3:
                     corners = np.vstack(rings)[extrude.triangulate(rings).ravel()]
                     yield pd.DataFrame({key: [name] * len(corners), "x": corners[:, 0], "y": corners[:, 1], "z": corners[:, 2]})
 
-    return shapes.select(key, "rings").mapInPandas(run, f"{key} {kind}, x double, y double, z double")
+    return shapes.select(key, geo.wrapped(F.col("rings")).alias("rings")).mapInPandas(run, f"{key} {kind}, x double, y double, z double")
 
 
 def raised(faces: DataFrame) -> DataFrame:

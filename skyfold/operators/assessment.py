@@ -63,7 +63,7 @@ def structure(pairs: DataFrame) -> DataFrame:
     def score(faces, roofs) -> tuple:
         reference, every = [], []
         for ring in roofs:
-            ring = np.array([(c["x"], c["y"], c["z"]) for c in ring], float)
+            ring = np.array([(c["x"], c["y"], c["z"]) for c in ring["p"]], float)
             e, n = overlay.ring_edge_array(ring), _newell(ring)
             if np.linalg.norm(n) == 0:
                 continue
@@ -74,7 +74,7 @@ def structure(pairs: DataFrame) -> DataFrame:
         planes_of: dict[int, tuple] = {}
         counted = 0
         for f in faces:
-            e = np.vstack([overlay.ring_edge_array(np.array([(c["x"], c["y"]) for c in r])) for r in f["rings"]])
+            e = np.vstack([overlay.ring_edge_array(np.array([(c["x"], c["y"]) for c in r["p"]])) for r in f["rings"]])
             whole, held = overlay.region_areas([[e], outline], lambda m: m[0], lambda m: m[0] & m[1])
             counted += whole > 0 and held >= FACE_SHARE * whole
             if held > 0:
@@ -100,7 +100,8 @@ def structure(pairs: DataFrame) -> DataFrame:
             rows = [(b, *score(f, r)) for b, f, r in zip(batch["building_id"], batch["faces"], batch["roofs"], strict=True)]
             yield pd.DataFrame(rows, columns=names)
 
-    return pairs.select("building_id", "faces", "roofs").mapInPandas(run, schema)
+    faces = F.transform("faces", lambda f: F.struct(*(f[c].alias(c) for c in ("plane_index", "nx", "ny", "nz")), geo.wrapped(f["rings"]).alias("rings")))
+    return pairs.select("building_id", faces.alias("faces"), geo.wrapped(F.col("roofs")).alias("roofs")).mapInPandas(run, schema)
 
 
 def _newell(ring: np.ndarray) -> np.ndarray:

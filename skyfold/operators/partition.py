@@ -14,7 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from skyfold.functions import geo
 from skyfold.operators import extrude, planes, topology
 
 SOLID = "struct<vertices:array<struct<x:double,y:double,z:double>>,surfaces:array<struct<kind:string,rings:array<array<int>>,face:int>>>"
@@ -264,7 +266,7 @@ def reconstruct_all(footprints: DataFrame, points: DataFrame, key: str, params:
             return pd.DataFrame(columns=names)
         p = p.sort_values("pid")
         try:
-            rings = f.rings.iloc[0] if whole else [f.ring.iloc[0]]
+            rings = [r["p"] for r in f.rings.iloc[0]] if whole else [f.ring.iloc[0]]
             rings = [np.array([(c["x"], c["y"]) for c in r], float) for r in rings]
             row = reconstruct(rings, p[["x", "y", "z"]].to_numpy(float), float(f.ground_z.iloc[0]), params, topology_params=topology_params)
         except Exception as e:  # a failure is a row, not the end of the run
@@ -272,4 +274,6 @@ def reconstruct_all(footprints: DataFrame, points: DataFrame, key: str, params:
         return pd.DataFrame([{key: f[key].iloc[0]} | row], columns=names).astype({"volume_m3": float})
 
     schema = f"{key} {kind}, status string, reason string, n_points bigint, n_planes int, n_faces int, volume_m3 double, faces {FACES}, solid {SOLID}, warnings array<string>"
+    if whole:
+        footprints = footprints.withColumn("rings", geo.wrapped(F.col("rings")))
     return footprints.groupBy(key).cogroup(points.groupBy(key)).applyInPandas(run, schema)

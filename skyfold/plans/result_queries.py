@@ -88,20 +88,6 @@ def unscored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.unscored(Scene(spark, sf_dir).results).select("building_id", "status")
 
 
-@query("SELECT c_custkey AS footprint_id FROM customer WHERE c_custkey NOT IN (SELECT footprint_id FROM results WHERE footprint_id IS NOT NULL)", "results")
-def no_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Scene(spark, sf_dir)
-    return evaluation.no_reference(s.table("customer").select(F.col("c_custkey").alias("footprint_id")), s.results)
-
-
-@query("SELECT c_custkey AS footprint_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY 1 LIMIT 100")
-def resume_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outlines not yet done, in order, up to a limit asked for."""
-    s = Scene(spark, sf_dir)
-    done = s.table("orders").select(F.col("o_custkey").alias("footprint_id"))
-    return s.table("customer").select(F.col("c_custkey").alias("footprint_id")).join(done, "footprint_id", "left_anti").orderBy("footprint_id").limit(100)
-
-
 @query("""SELECT c_custkey AS footprint_id, coalesce(max_by(o_orderstatus, o_orderkey), 'not-run') AS status, coalesce(round(max_by(o_totalprice, o_orderkey), 2), 0) AS density FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest run of every outline; what has none is not-run."""
@@ -154,12 +140,18 @@ def orientation_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("u", normal("a1")).withColumn("v", normal("a2")).select("building_id", F.round(geo.orientation_error(F.col("u"), F.col("v")), 5).alias("angle"))
 
 
-@query()
+# one more pair of each building a step, until none is free
+@query("""WITH RECURSIVE c AS (SELECT l_orderkey AS building_id, CAST(l_partkey % 4 AS INT) AS i, CAST(l_suppkey % 4 AS INT) AS j, CAST(l_quantity AS BIGINT) AS angle FROM lineitem),
+  g(building_id, ui, uj, angles) AS (SELECT DISTINCT building_id, CAST([] AS INT[]), CAST([] AS INT[]), CAST([] AS BIGINT[]) FROM c
+    UNION ALL SELECT building_id, list_append(ui, i), list_append(uj, j), list_append(angles, angle) FROM (SELECT g.*, c.i, c.j, c.angle, row_number() OVER (PARTITION BY g.building_id ORDER BY c.angle, c.i, c.j) AS rn
+      FROM g JOIN c ON c.building_id = g.building_id AND NOT list_contains(g.ui, c.i) AND NOT list_contains(g.uj, c.j)) WHERE rn = 1)
+  SELECT building_id, CAST(len(angles) AS INT) AS n_pairs, array_to_string(list_transform(angles, lambda x: CAST(x AS VARCHAR)), ',') AS angles FROM (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY len(angles) DESC) AS rn FROM g) WHERE rn = 1""")
 def orientation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy one-to-one matching of planes, smallest angle first."""
+    """Greedy one-to-one matching of planes, smallest angle first. (Pairs of overlaid planes are matched in evaluated_buildings.)"""
     l = Scene(spark, sf_dir).table("lineitem")
-    c = l.select(F.col("l_orderkey").alias("building_id"), (F.col("l_partkey") % 4).cast("int").alias("i"), (F.col("l_suppkey") % 4).cast("int").alias("j"), F.col("l_quantity").alias("angle"))
-    return evaluation.orientation_pairs(c)
+    c = l.select(F.col("l_orderkey").alias("building_id"), (F.col("l_partkey") % 4).cast("int").alias("i"), (F.col("l_suppkey") % 4).cast("int").alias("j"), F.col("l_quantity").cast("double").alias("angle"))
+    angles = F.col("orientation_errors_deg")
+    return evaluation.orientation_pairs(c).select("building_id", F.size(angles).alias("n_pairs"), F.array_join(angles.cast("array<bigint>").cast("array<string>"), ",").alias("angles"))
 
 
 @query("SELECT building_id, round(least(n_pred_faces, n_ref_faces) / CAST(greatest(n_pred_faces, n_ref_faces) AS DOUBLE), 6) AS agreement FROM results", "results")

@@ -128,9 +128,21 @@ def _local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.points.join(f, "fid").select("fid", "pid", "cls", m("x", "ox"), m("y", "oy"), m("z"))
 
 
-@query()
+# the least eigenvalue of the scatter by its trigonometric form, its vector by the longest cross product of two rows
+_TLS = """, m AS (SELECT p.fid, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_pop(x, x) AS a, covar_pop(x, y) AS b, covar_pop(x, z) AS c, covar_pop(y, y) AS d, covar_pop(y, z) AS e, covar_pop(z, z) AS f
+  FROM (SELECT p.fid, CAST(p.x - f.ox AS DOUBLE) / 1000 AS x, CAST(p.y - f.oy AS DOUBLE) / 1000 AS y, CAST(p.z AS DOUBLE) / 1000 AS z FROM points p JOIN footprints f ON f.fid = p.fid WHERE p.cls = 6) p GROUP BY p.fid HAVING count(*) >= 3),
+  q AS (SELECT *, (a + d + f) / 3 AS q FROM m), s AS (SELECT *, sqrt(((a - q) ** 2 + (d - q) ** 2 + (f - q) ** 2 + 2 * (b * b + c * c + e * e)) / 6) AS s FROM q),
+  l AS (SELECT *, q + 2 * s * cos(acos(greatest(-1, least(1, ((a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c)) / (2 * s ** 3)))) / 3 + 2 * pi() / 3) AS v FROM s),
+  x AS (SELECT *, b * e - c * (d - v) AS x1, c * b - (a - v) * e AS y1, (a - v) * (d - v) - b * b AS z1, b * (f - v) - c * e AS x2, c * c - (a - v) * (f - v) AS y2, (a - v) * e - b * c AS z2, (d - v) * (f - v) - e * e AS x3, e * c - b * (f - v) AS y3, b * e - (d - v) * c AS z3 FROM l),
+  k AS (SELECT *, x1 * x1 + y1 * y1 + z1 * z1 AS n1, x2 * x2 + y2 * y2 + z2 * z2 AS n2, x3 * x3 + y3 * y3 + z3 * z3 AS n3 FROM x),
+  o AS (SELECT fid, n, mx, my, mz, CASE WHEN n1 >= n2 AND n1 >= n3 THEN [x1, y1, z1] WHEN n2 >= n3 THEN [x2, y2, z2] ELSE [x3, y3, z3] END AS w, sqrt(greatest(n1, n2, n3)) AS size FROM k),
+  u AS (SELECT fid, n, mx, my, mz, w[1] / size * sign(w[3]) AS nx, w[2] / size * sign(w[3]) AS ny, w[3] / size * sign(w[3]) AS nz FROM o)"""
+
+
+@query(_TLS + " SELECT fid, round(nx, 5) AS nx, round(ny, 5) AS ny, round(nz, 5) AS nz, round(nx * mx + ny * my + nz * mz, 4) AS d, n FROM u", "points", "footprints")
 def plane_fit_tls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planes_sql.fit(_local(spark, sf_dir).where("cls = 6"), "fid")
+    out = planes_sql.fit(_local(spark, sf_dir).where("cls = 6"), "fid")
+    return out.select("fid", *((F.round(c, 5) + 0.0).alias(c) for c in ("nx", "ny", "nz")), F.round("d", 4).alias("d"), "n")
 
 
 _PLANES = """planes(k, sx, sy, h) AS (VALUES (0, 0.0, 0.0, 36.0), (1, 0.0, 0.5, 36.0), (2, 0.25, 0.0, 36.0), (3, 0.0, 0.0, 30.0)),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skyfold.functions import geo
 from skyfold.operators import assessment, clip, evaluation, partition, planes
+from skyfold.sources import sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -186,3 +187,27 @@ def evaluated_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = evaluation.summarise(Village(spark, sf_dir).results)
     names = ("vertical_rmse_m", "median_building_rmse_m", "coverage", "face_count_agreement", "match_rate")
     return m.select("n_buildings", "n_assigned", "buildings_reconstructed", *(F.round(c, 6).alias(c) for c in names))
+
+
+@query(" SELECT fid AS footprint_id FROM houses WHERE what IN (1, 6, 16)")
+def no_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines that no single reference building lies in."""
+    v = Village(spark, sf_dir)
+    single = assessment.roof_outlines(v.roofs).join(v.buildings.where("not is_grouped"), "building_id").select("building_id", "edges")
+    footprints = v.footprints.select(F.col("fid").alias("footprint_id"), "edges")
+    return evaluation.no_reference(footprints.select("footprint_id"), clip.assign(footprints, single, 20.0, name="footprint_id"))
+
+
+@query(" SELECT fid AS footprint_id FROM houses WHERE what = 16 ORDER BY 1 LIMIT 100")
+def resume_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines that have no run yet, in order, up to a limit asked for; those with a reference have been run."""
+    v = Village(spark, sf_dir)
+    return sinks.resume(v.houses.select(F.col("fid").alias("footprint_id")), v.houses.where("what <> 16").select(F.col("fid").alias("footprint_id")), 100)
+
+
+@query(""" SELECT 'B' || CAST(k.fid AS VARCHAR) AS building_id, CAST(CASE kind WHEN 0 THEN 1 WHEN 2 THEN 1 ELSE 2 END AS INT) AS n_pred_planes, CAST(CASE kind WHEN 2 THEN 1 ELSE 2 END AS INT) AS n_ref_planes,
+  CAST(CASE kind WHEN 0 THEN 1 WHEN 2 THEN 1 ELSE 2 END AS INT) AS n_pairs, 0.0 AS worst_deg FROM houses k WHERE what IN (11, 21)""")
+def plane_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes of reconstructions and of the reference that overlap by the least share, matched one to one."""
+    r = Village(spark, sf_dir).results.where("share is not null")
+    return r.select("building_id", "n_pred_planes", "n_ref_planes", F.size("orientation_errors_deg").alias("n_pairs"), (F.round(F.array_max("orientation_errors_deg"), 3) + 0.0).alias("worst_deg"))

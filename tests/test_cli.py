@@ -57,6 +57,17 @@ def test_commands(spark, folder, capsys):
     assert cli.main([*base, "export-scene", "-a", "a"]) == 0
     told = json.loads((folder / "out" / "scene" / "scene.json").read_text())
     assert told["arrays"]["points"]["length"] > 0 and told["arrays"]["triangles"]["length"] > 0 and [b["building_id"] for f in told["footprints"] for b in f["buildings"]] == ["V1"]
+    fixtures = ["--fixtures", str(folder / "fixtures")]
+    assert cli.main([*base, "evaluate", "--smoke", *fixtures]) == 0 and "nothing measured" in (folder / "out" / "report.md").read_text()
+    assert cli.main([*base, "fixtures", "-a", "a", *fixtures]) == 0
+    index = json.loads((folder / "fixtures" / "index.json").read_text())
+    assert [(f["footprint_id"], f["n_points"], f["reference_buildings"]) for f in index["footprints"]] == [("fp-1", 4200, ["V1"])]
+    assert cli.main([*base, "evaluate", "--smoke", *fixtures]) == 0 and "no baseline" in (folder / "out" / "report.md").read_text()
+    metrics = json.loads((folder / "out" / "metrics.json").read_text())["overall"]
+    assert metrics["n_assigned"] == 1 and abs(metrics["vertical_rmse_m"] - rows["V1"].rmse_m) < 0.02
+    for worse, code in ((0.0, 0), (0.5, 1)):
+        (folder / "fixtures" / "baseline_metrics.json").write_text(json.dumps({"tolerances": {"_comment": "x", "vertical_rmse_m": 0.02, "coverage": -0.01}, "metrics": {"overall": {"vertical_rmse_m": metrics["vertical_rmse_m"] - worse, "coverage": 1.0}}}))
+        assert cli.main([*base, "evaluate", "--smoke", *fixtures]) == code
     assert cli.main([*base, "reconstruct", "-a", "a", "--force"]) == 0 and "building_results" not in tables.current("a")
     with pytest.raises(NotImplementedError):
         cli.main([*base, "export"])

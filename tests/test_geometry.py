@@ -260,3 +260,23 @@ def test_a_step_between_two_flat_roofs_is_cut():
     turn = np.array([[np.cos(0.3), -np.sin(0.3)], [np.sin(0.3), np.cos(0.3)]])
     row = partition.reconstruct([outline[0] @ turn.T], np.column_stack((xy @ turn.T, points[:, 2])), 30.0)
     assert row["status"] == "ok" and abs(row["volume_m3"] - (7 * 8 * 14 + 5 * 8 * 18)) < 1.0
+
+
+def test_rings_of_several_lengths_pass_through_kernels(spark):
+    from skyfold.operators import area_scene, assessment
+
+    outer, hole = [(0.0, 0.0), (9.0, 0.0), (9.0, 4.0), (4.0, 9.0), (0.0, 9.0)], [(1.0, 1.0), (3.0, 1.0), (1.0, 3.0)]
+    kind = "array<array<struct<x:double,y:double>>>"
+    faces = spark.createDataFrame([(1, 0, 0.0, 0.0, 1.0, 6.0, [outer, hole], 0.0)], f"fid int, face int, nx double, ny double, nz double, d double, rings {kind}, ground_z double")
+    solid = extrude.extrude_faces(faces, "fid").first()
+    assert solid.watertight and abs(solid.volume_m3 - 6 * (81 - 12.5 - 2)) < 1e-9 and not solid.problems
+    xyz = [[(*p, 6.0) for p in r] for r in (outer, hole)]
+    flat = area_scene.triangles(spark.createDataFrame([("a", xyz)], "k string, rings array<array<struct<x:double,y:double,z:double>>>"), "k").toPandas()
+    t = flat[["x", "y"]].to_numpy().reshape(-1, 3, 2)
+    assert abs(np.abs(np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0])).sum() / 2 - 66.5) < 1e-9
+    pair = spark.createDataFrame([("b", [(0, 0.0, 0.0, 1.0, [outer, hole])], xyz)], f"building_id string, faces array<struct<plane_index:int,nx:double,ny:double,nz:double,rings:{kind}>>, roofs array<array<struct<x:double,y:double,z:double>>>")
+    got = assessment.structure(pair).first()
+    assert (got.n_pred_planes, got.n_ref_planes, got.n_unmatched_pred, got.n_unmatched_ref) == (1, 2, 0, 1) and got.orientation_errors_deg == [0.0]
+    points = spark.createDataFrame([(1, str(i), x, y, 6.0) for i, (x, y) in enumerate((0.2 + a / 3, 0.2 + b / 3) for a in range(26) for b in range(26))], "fid int, pid string, x double, y double, z double")
+    shape = spark.createDataFrame([(1, [outer, hole], 0.0)], f"fid int, rings {kind}, ground_z double")
+    assert partition.reconstruct_all(shape, points, "fid").first().status == "ok"

@@ -173,3 +173,22 @@ def test_incremental_runs_do_each_file_once(spark, tmp_path):
     for _ in range(2):
         incremental.run(spark, str(tmp_path / "in"), "id bigint", lambda df: df, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_hexadecimal_geometries(spark):
+    import struct
+
+    from skyfold.functions import wkb
+
+    rings = [[(0.0, 0.0), (4.0, 0.0), (4.0, 3.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 1.0)]]
+    df = spark.createDataFrame([(1, rings), (2, None)], "id int, rings array<array<struct<x:double,y:double>>>")
+    out = {r.id: r for r in df.select("id", wkb.ewkb(F.col("rings")).alias("one"), wkb.ewkb(F.col("rings"), multi=True).alias("many")).collect()}
+    data = bytes.fromhex(out[1].one)
+    assert struct.unpack_from("<BIII", data) == (1, 0x20000003, 2950, 2) and out[2].one is None
+    assert struct.unpack_from("<I8d", data, 13) == (4, 0, 0, 4, 0, 4, 3, 0, 0)  # closed
+    assert len(data) == 13 + 2 * (4 + 64)
+    many = bytes.fromhex(out[1].many)
+    assert struct.unpack_from("<BIII", many) == (1, 0x20000006, 2950, 1) and struct.unpack_from("<BII", many, 13) == (1, 3, 2) and many[22:] == data[13:]
+    ring = [[(0.0, 0.0, 1.0), (1.0, 0.0, 1.0), (1.0, 1.0, 1.0)]]
+    z = spark.createDataFrame([(ring,)], "r array<array<struct<x:double,y:double,z:double>>>").select(wkb.ewkb(F.col("r"), z=True)).first()[0]
+    assert z.startswith("01" + "030000A0" + "860B0000" + "01000000" + "04000000")
