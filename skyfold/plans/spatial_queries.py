@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyfold.functions import geo
-from skyfold.operators import clip, planes_sql, spatial
+from skyfold.operators import clip, planes_sql, regions, spatial
 from skyfold.plans.scene import Scene, with_clause
 
 QUERIES: dict = {}
@@ -207,6 +207,17 @@ def majority_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes_sql.majority(_labels(spark, sf_dir), "fid")
 
 
+@query()
+def label_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of the labelled cells: those of one label that touch by a side."""
+    return regions.label_regions(_labels(spark, sf_dir), "fid")
+
+
+ORACLE_SQL["label_regions"] = (with_clause("points", "footprints") + _LABELS).replace("WITH ", "WITH RECURSIVE ", 1) + """, reach AS (SELECT fid, label, cx, cy, cx AS rx, cy AS ry FROM labels
+  UNION SELECT r.fid, r.label, b.cx, b.cy, r.rx, r.ry FROM reach r JOIN labels b ON b.fid = r.fid AND b.label = r.label AND abs(b.cx - r.cx) + abs(b.cy - r.cy) = 1)
+  SELECT fid, label, first.rx AS first_cx, first.ry AS first_cy, count(*) AS n FROM (SELECT fid, label, cx, cy, min({'ry': ry, 'rx': rx}) AS first FROM reach GROUP BY fid, label, cx, cy) GROUP BY ALL"""
+
+
 @query("""SELECT b.building_id, CASE WHEN max(share) >= 0.5 THEN min(fid) FILTER (WHERE share >= top - 1e-9) END AS fid, round(CASE WHEN max(share) >= 0.5 THEN max(share) END, 6) AS share FROM buildings b LEFT JOIN (
   SELECT *, max(share) OVER (PARTITION BY building_id) AS top FROM (SELECT b.building_id, f.fid,
    (greatest(0, least(b.x1, f.ox + f.w) - greatest(b.x0, f.ox)) * greatest(0, least(b.y1, f.oy + f.d) - greatest(b.y0, f.oy))

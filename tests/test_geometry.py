@@ -280,3 +280,20 @@ def test_rings_of_several_lengths_pass_through_kernels(spark):
     points = spark.createDataFrame([(1, str(i), x, y, 6.0) for i, (x, y) in enumerate((0.2 + a / 3, 0.2 + b / 3) for a in range(26) for b in range(26))], "fid int, pid string, x double, y double, z double")
     shape = spark.createDataFrame([(1, [outer, hole], 0.0)], f"fid int, rings {kind}, ground_z double")
     assert partition.reconstruct_all(shape, points, "fid").first().status == "ok"
+
+
+def test_regions_and_small_ones_merged():
+    from skyfold.operators import regions
+
+    grid = ["aaabbb", "aacbbb", "aaabbd", "eaa bb"]
+    cells = np.array([(x, y) for y, row in enumerate(grid) for x, c in enumerate(row) if c != " "])
+    labels = np.array([ord(c) for row in grid for c in row if c != " "])
+    mix = np.random.default_rng(3).permutation(len(cells))
+    cells, labels = cells[mix], labels[mix]
+    first = regions.regions(cells, labels)
+    assert {(*map(int, cells[f]), chr(labels[f]), int((first == f).sum())) for f in np.unique(first)} == {(0, 0, "a", 10), (3, 0, "b", 10), (2, 1, "c", 1), (5, 2, "d", 1), (0, 3, "e", 1)}
+    merged = regions.merge_small(cells, labels, 4)
+    told = {(x, y): chr(v) for (x, y), v in zip(cells.tolist(), merged.tolist())}
+    assert (told[2, 1], told[5, 2], told[0, 3]) == ("a", "b", "a") and set(told.values()) == {"a", "b"}
+    alone = regions.merge_small(np.array([(0, 0), (5, 5)]), np.array([1, 2]), 9)
+    assert alone.tolist() == [1, 2] and len(regions.regions(np.empty((0, 2), np.int64), np.empty(0, np.int64))) == 0
