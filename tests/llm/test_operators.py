@@ -350,6 +350,63 @@ def test_trees_learn_and_are_traversed_alike():
     assert quality_gbt.fit(x[:0], y[:0]).score(x[:2]).tolist() == [0.5, 0.5]
 
 
+def plain_features(text):
+    """The features of one text, one by one."""
+    data = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    n, m = len(words), max(len(words), 1)
+    size = [len(w) for w in words]
+    mean = sum(size) / m
+    share = lambda test: sum(map(test, words)) / m
+    held = lambda chars: sum(c in chars for c in data) / max(len(data), 1)
+    space = b" \t\n\x0b\x0c\r"
+    kind = lambda c: 5 if c >= 128 else 4 if c in space else 0 if 97 <= c < 123 else 1 if 65 <= c < 91 else 2 if 48 <= c < 58 else 3
+    kinds = [sum(kind(c) == k for c in data) / max(len(data), 1) for k in range(6)]
+
+    def covered(k):
+        grams = [tuple(words[i : i + k]) for i in range(n - k + 1)]
+        count = Counter(grams)
+        return len({i + j for i, g in enumerate(grams) if count[g] > 1 for j in range(k)}) / m
+
+    lines = [x for x in re.findall(rb"[^\n]*\n|[^\n]+", data)]
+    n_lines = data.count(b"\n") + 1
+    symbols = b"#*$%&|<>"
+    return [
+        np.log1p(len(data)), np.log1p(n), mean, np.sqrt(max(sum(x * x for x in size) / m - mean**2, 0)), share(lambda w: len(w) <= 3), share(lambda w: len(w) >= 12), *kinds,
+        held(symbols), held(b".,;:"), held(b"!?"), held(b"\"'()[]{}"), held(b"@/\\=+_-~^`"), len(set(words)) / m, max(Counter(words).values(), default=0) / m,
+        sum(x == y for x, y in zip(words, words[1:])) / m, covered(2), covered(3), covered(5), np.log1p(n_lines), n / n_lines, sum(x in lines[:i] for i, x in enumerate(lines)) / n_lines,
+        share(lambda w: 65 <= w[0] < 91), share(lambda w: len(w) == 1), share(lambda w: 2 * sum(c in symbols for c in w) >= len(w)), share(lambda w: len(w) == 1 and w[0] in symbols),
+    ]
+
+
+def test_quality_features_are_those_of_each_text_alone():
+    r = random.Random(6)
+    parts = ["the ", "The ", "of, ", "é ", "longestwordofall ", "a\n", "#", "| ", "\t", "x y z\n", "\n", "42 ", "!? ", "(b) ", "x=1 ", "** "]
+    texts = ["", " ", "\n\n", "a", "a\n", "word word word"] + ["".join(r.choice(parts) for _ in range(r.randrange(80))) for _ in range(150)]
+    got = quality_gbt.features(X.of_texts(texts))
+    assert got.shape == (len(texts), len(quality_gbt.FEATURES))
+    for text, row in zip(texts, got, strict=True):
+        want = np.array(plain_features(text))
+        assert np.allclose(row, want, atol=2e-4), (text, [f for f, a, b in zip(quality_gbt.FEATURES, row, want) if abs(a - b) > 2e-4])
+
+
+def test_the_split_is_the_best_of_all():
+    r = np.random.default_rng(9)
+    for _ in range(20):
+        x = r.integers(0, 6, (80, 3)).astype(np.float32)
+        y = (r.random(80) < 0.2 + 0.6 * (x[:, 1] > 2)).astype(float)
+        model = quality_gbt.fit(x, y, trees=1, depth=1, rate=0.3, bins=64, least=2.0, l2=1.0)
+        p = y.mean()
+        g, h = p - y, np.full(80, p * (1 - p))
+        score = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
+        options = [(score(x[:, f] <= t) + score(x[:, f] > t) - score(np.ones(80, bool)), f, t) for f in range(3) for t in np.unique(x[:, f])[:-1] if min(h[x[:, f] <= t].sum(), h[x[:, f] > t].sum()) >= 2.0]
+        best = max(o[0] for o in options)
+        f, t = int(model.feature[0, 0]), model.threshold[0, 0]
+        left = x[:, f] <= t
+        assert abs(score(left) + score(~left) - score(np.ones(80, bool)) - best) < 1e-9
+        assert np.allclose(model.leaf[0], [-0.3 * g[s].sum() / (h[s].sum() + 1.0) for s in (left, ~left)], atol=1e-5)
+
+
 def test_quality_edges(spark):
     rows = [(i, "good words here " * 3 if i % 2 else "$$ %% && ##" * 5) for i in range(60)] + [(None, None), (100, ""), (0, "again")]
     docs = frame(spark, rows)
