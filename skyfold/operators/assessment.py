@@ -112,15 +112,9 @@ def _newell(ring: np.ndarray) -> np.ndarray:
 def scored_cells(outlines: DataFrame, reference: DataFrame, predicted: DataFrame, lidar: DataFrame, bin_size: float = 20.0) -> DataFrame:
     """(building_id, cx, cy, z_ref, z_pred, z_lidar) of the cells of outlines (building_id, footprint_id, edges). Faces of both
     kinds (building_id, edges, plane) meet the cells in one join and one aggregation; lidar: (footprint_id, cx, cy, z_lidar)."""
-    cells = spatial.cells_of(outlines, CELL_M, CELL_M)
-    faces = reference.select("building_id", "edges", "plane", F.lit(True).alias("is_ref")).unionByName(predicted.select("building_id", "edges", "plane", F.lit(False).alias("is_ref")))
-    spread = spatial.bin_explode(spatial.with_bounds(faces), bin_size).select("building_id", "bx", "by", "edges", "plane", "is_ref", "xmin", "xmax", "ymin", "ymax")
-    at = cells.withColumn("bx", F.floor(F.col("x") / bin_size)).withColumn("by", F.floor(F.col("y") / bin_size))
-    met = at.select("building_id", "bx", "by", "cx", "cy", "x", "y").join(spread, ["building_id", "bx", "by"])
-    met = met.where(F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))).where(geo.intersects(F.col("edges"), F.col("x"), F.col("y")))
-    z = geo.plane_height(F.col("plane"), F.col("x"), F.col("y"))
-    tops = met.groupBy("building_id", "cx", "cy").agg(F.max(F.when(F.col("is_ref"), z)).alias("z_ref"), F.max(F.when(~F.col("is_ref"), z)).alias("z_pred"))
-    return cells.join(tops, ["building_id", "cx", "cy"], "left").join(lidar, ["footprint_id", "cx", "cy"], "left").select("building_id", "cx", "cy", "z_ref", "z_pred", "z_lidar")
+    kinds = [f.select("building_id", "edges", "plane", F.lit(is_ref).alias("is_ref")) for f, is_ref in ((reference, True), (predicted, False))]
+    tops = spatial.surfaces(spatial.cells_of(outlines, CELL_M, CELL_M), kinds[0].unionByName(kinds[1]), ["building_id"], bin_size)
+    return tops.join(lidar, ["footprint_id", "cx", "cy"], "left").select("building_id", "cx", "cy", "z_ref", "z_pred", "z_lidar")
 
 
 def evaluate(footprints: DataFrame, reconstructions: DataFrame, buildings: DataFrame, roofs: DataFrame, roof_points: DataFrame) -> DataFrame:

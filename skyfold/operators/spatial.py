@@ -101,6 +101,18 @@ def surface(cells: DataFrame, faces: DataFrame, key: list[str], size: float, nam
     return cells.join(top, [*key, "cx", "cy"], "left")
 
 
+def surfaces(cells: DataFrame, faces: DataFrame, key: list[str], size: float) -> DataFrame:
+    """Every cell (key, cx, cy and others) with z_ref and z_pred, the heights of the highest faces (key, edges, plane, is_ref) over
+    it of either kind, null where there is none: one join and one aggregation for both."""
+    spread = bin_explode(with_bounds(faces.select(*key, "edges", "plane", "is_ref")), size)
+    at = cells.withColumn("bx", F.floor(F.col("x") / size)).withColumn("by", F.floor(F.col("y") / size))
+    x, y = F.col("x"), F.col("y")
+    met = at.join(spread, [*key, "bx", "by"], "left")
+    near = x.between(F.col("xmin"), F.col("xmax")) & y.between(F.col("ymin"), F.col("ymax"))
+    z = F.when(near & geo.intersects(F.col("edges"), x, y), geo.plane_height(F.col("plane"), x, y))
+    return met.withColumn("_z", z).groupBy(*cells.columns).agg(F.max(F.when(F.col("is_ref"), F.col("_z"))).alias("z_ref"), F.max(F.when(~F.col("is_ref"), F.col("_z"))).alias("z_pred"))
+
+
 def cell_median(points: DataFrame, key: list[str], cell: float, name: str = "z_lidar") -> DataFrame:
     at = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
     return at.groupBy(*key, "cx", "cy").agg(F.median("z").alias(name))

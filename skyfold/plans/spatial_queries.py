@@ -278,7 +278,8 @@ def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     plane = F.struct((-slope).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"), (36000 - slope * F.col("ox")).alias("d"))
     faces = f.select(F.col("fid").alias("home"), geo.ring_edges(F.array(c(x0, y0), c(x1, y0), c(x1, y1), c(x0, y1))).alias("edges"), plane.alias("plane"))
     faces = s.buildings.select("building_id", "home").join(faces, "home").select("building_id", "edges", "plane")
-    cells = spatial.surface(_reference(spark, sf_dir), faces, ["building_id"], BIN, "z_pred")
+    every = faces.withColumn("is_ref", F.lit(False)).unionByName(s.roofs.select("building_id", "edges", "plane", F.lit(True).alias("is_ref")))
+    cells = spatial.surfaces(_cells(spark, sf_dir), every, ["building_id"], BIN)
     lidar = spatial.cell_median(s.points.where("cls = 6"), [], CELL)
     return cells.join(lidar, ["cx", "cy"], "left")
 
