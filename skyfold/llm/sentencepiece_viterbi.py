@@ -50,6 +50,11 @@ _TOP = U64(44)
 _NEVER, _FIRST = np.iinfo(np.int32).max, -1  # ranks: of no piece; of a single character
 
 
+def _value(points: np.ndarray) -> np.ndarray:
+    """What a code point adds to the key of a piece."""
+    return X.mix((points + 1).astype(np.uint64))
+
+
 def _merged(piece: str, ranks: dict[str, int]) -> tuple[str, str] | None:
     """The last merge that makes the piece of its characters, or None if the merges do not make it."""
     parts, last = list(piece), None
@@ -77,14 +82,13 @@ class Vocabulary:
         n = len(spelled)
         self.rank, self.left, self.right = np.full(n, _FIRST, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.length, self.key = np.ones(n, np.int64), np.zeros(n, np.uint64)
-        self.values = X.mix(np.arange(1, LITERAL + 2, dtype=np.uint64))
         names, self.ids = list(self.pieces), np.array(list(self.pieces.values()), np.int64)
         points = np.array([ord(c) for p in names for c in p], np.int64)
         size = np.array([len(p) for p in names], np.int64)
         at = np.concatenate(([0], np.cumsum(size)))
         inside = np.arange(at[-1]) - np.repeat(at[:-1], size)
         if len(names):
-            self.key[self.ids] = np.add.reduceat(self.values[points] * X.power(inside), at[:-1])
+            self.key[self.ids] = np.add.reduceat(_value(points) * X.power(inside), at[:-1])
         self.length[self.ids] = size
         for p, i in self.pieces.items():
             if len(p) > 1:
@@ -220,7 +224,7 @@ class Lockstep:
         """Codes of all rows, one after another, and how many each row has."""
         n, length = points.shape
         v, w = self.v, self.width
-        value, rows = np.ascontiguousarray(v.values[points].T), np.arange(n)
+        value, rows = np.ascontiguousarray(_value(points).T), np.arange(n)
         self.back, self.code = np.zeros((n, w), np.int64), np.full((n, w), -1, np.int64)
         self.done = np.zeros(n, np.int64)  # the boundary before which ids are final
         out, used = np.zeros((n, length), np.int64), np.zeros(n, np.int64)
@@ -293,7 +297,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.begin, self.count, self.codes = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.known, self.begin, self.count, self.codes = np.empty(0, np.uint64), *(np.empty(0, np.int32) for _ in range(3))
 
     def _learn(self, hashes: np.ndarray, codes: np.ndarray, begin: np.ndarray, count: np.ndarray) -> None:
         """Remember the codes of new stretches."""
@@ -302,9 +306,9 @@ class Encoder:
         known = np.concatenate((self.known, hashes))
         order = np.argsort(known)
         self.known = known[order]
-        self.begin = np.concatenate((self.begin, begin + len(self.codes)))[order]
-        self.count = np.concatenate((self.count, count))[order]
-        self.codes = np.concatenate((self.codes, codes))
+        self.begin = np.concatenate((self.begin, (begin + len(self.codes)).astype(np.int32)))[order]
+        self.count = np.concatenate((self.count, count.astype(np.int32)))[order]
+        self.codes = np.concatenate((self.codes, codes.astype(np.int32)))
 
     def encode(self, block: X.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of the block, and where each text's begin."""
@@ -333,10 +337,10 @@ class Encoder:
                 fresh = self._distinct(data, start[first], end[first])
             self._learn(name[new], *fresh)
         row = np.searchsorted(self.known, name)
-        begin, count = self.begin[row], self.count[row]
+        begin, count = self.begin[row].astype(np.int64), self.count[row].astype(np.int64)
         n = count[which]
         at = np.concatenate(([0], np.cumsum(n)))
-        flat = self.codes[np.arange(at[-1]) - np.repeat(at[:-1] - begin[which], n)]
+        flat = self.codes[np.arange(at[-1]) - np.repeat(at[:-1] - begin[which], n)].astype(np.int64)
         return self._spell_out(flat, at[np.searchsorted(start, offsets)])
 
     def encode_alone(self, text: bytes) -> np.ndarray:
