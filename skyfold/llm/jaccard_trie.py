@@ -7,10 +7,11 @@ A document is the set of its word shingles. Two sets link when
    parity sketch. Equal sets are one from here on: the least doc_id stands for all.
 2. *Meeting.* Sets that link differ in at most d shingles, d growing with their
    size, so of d + 1 + e bands into which the shingles are dealt by hash, 1 + e are
-   alike in both. A second pass deals every set of a size class into the class's
+   alike in both; for a set whose partners are small e is larger (``_spare``). A second pass deals every set of a size class into the class's
    bands, once in a task however many copies the task sees, and sends (band digest,
-   set) in binary blocks; sets that share a band meet. e makes up for empty bands, which are sent only by the few sets that have
-   more of them than e, so no linked pair is lost. Pairs that meet are dropped where
+   set) in binary blocks; sets that share a band meet. e makes up for empty bands and for
+   crowded ones, which many sets share: only the few sets that have more of them than e meet there, so no
+   linked pair is lost. Pairs that meet are dropped where
    parity sketches prove that they differ in more than d shingles (``Place``): a number
    of edges in proportion to the sets is kept, and none of a pair that may link is lost.
 3. *Join.* Sets that meet, directly or through others, form a cluster. The text of one
@@ -51,6 +52,11 @@ BUNDLE_SETS, BUNDLE_SHINGLES = 1_000, 2_000_000
 PLACE_PAIRS, PLACE_LEADERS = 12, 2_000
 #: Copies of one set are dealt over so many keys when they learn their component.
 SALTS = 32
+#: A band that more sets share is crowded.
+CROWD = 12
+SPARSE = 1 << 40
+#: Bytes of a digest that are sent (little-endian, the lowest).
+SHORT = 5
 
 
 def shingle_sets(block: X.Block, k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -86,11 +92,21 @@ def identities(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return n, d1.view(np.int64), d2.view(np.int64), X.mix(X.mix(d1 + n.astype(np.uint64)) ^ d2).view(np.int64)
 
 
-def _bands(top: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bands, and spare ones among them, of classes of sets of up to top shingles."""
-    d = (100 - percent) * 2 * top // (100 + percent)  # |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|)
-    spare = np.where(d > 0, 3 + (d + 1) // 50, 0)
-    return d + 1 + spare, spare
+def _bands(top: np.ndarray, percent: int) -> np.ndarray:
+    """Bands of classes of sets of up to top shingles."""
+    d = most_apart(top, top, percent)
+    return d + 1 + np.where(d > 0, 4 + d // 10, 0)
+
+
+def _spare(n: np.ndarray, top: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many empty and how many crowded bands sets of n have to spare in classes of up to top shingles.
+
+    Sets agree in all bands but as many as they differ in shingles, and a set of n can link only
+    with sets near its own size; so if it has no more of both together, it shares another band
+    with each of these.
+    """
+    spare = _bands(top, percent) - 1 - most_apart(n, np.minimum(top, n * 100 // percent), percent)
+    return (spare + 1) // 2, spare // 2
 
 
 def _tops(largest: int, percent: int) -> np.ndarray:
@@ -106,7 +122,8 @@ def band_digests(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.nda
 
     A set is dealt in the class of its size, and in the next one as well if a set of that
     class can still link with it. Two sets that are dealt in a class differ in at most d
-    shingles, so in at most d of its bands.
+    shingles, so in at most d of its bands. The lowest bit of a digest says whether its set
+    sends its empty bands, the next one whether the class is odd; sets meet by the others.
     """
     n = np.diff(first)
     tops = _tops(int(n.max(initial=1)), percent)
@@ -117,7 +134,7 @@ def band_digests(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.nda
         if not len(sets):
             continue
         level = own[sets] + step
-        k, spare = _bands(tops[level], percent)
+        k = _bands(tops[level], percent)
         begin = np.concatenate(([0], np.cumsum(k)))
         size = n[sets]
         inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -131,7 +148,9 @@ def band_digests(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.nda
         band = (np.arange(begin[-1]) - begin[doc]).astype(np.uint64)
         digest = X.mix(X.mix(low ^ X.mix(high ^ count.astype(np.uint64))) ^ X.mix(band * U64(0x10001) + level[doc].astype(np.uint64)))
         empty = count == 0
-        send = ~empty | (np.bincount(doc, empty) > spare)[doc]
+        sparse = (np.bincount(doc, empty) > _spare(n[sets], tops[level], percent)[0])[doc]
+        send = ~empty | sparse
+        digest = (digest & ~U64(3)) | ((level[doc] & 1) << 1 | sparse).astype(np.uint64)
         digests.append(digest[send])
         docs.append(sets[doc[send]])
     return np.concatenate(digests), np.concatenate(docs)
@@ -237,8 +256,13 @@ def _sizes(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, set bigint, sketch binary")
 
 
-def _meetings(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(place, set): sets with the same place share a band. Places with the same sets come once a task."""
+def _meetings(docs: DataFrame, k: int, percent: int, crowd: int = CROWD) -> DataFrame:
+    """(place, set, odd, crowded): sets with the same place share a band.
+
+    odd is -1 at places of up to crowd sets. At others it tells whether their class is odd, and rows
+    without a place sum up the crowded bands of a set in the odd and in the even one of its classes.
+    A set that sends its empty bands has SPARSE more.
+    """
     n_out = partitions(docs.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,39 +284,80 @@ def _meetings(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 order = np.lexsort((digest, part))
                 digest, held, part = digest[order], own[which[order]], part[order]
                 cuts = np.searchsorted(part, np.arange(n_out + 1))
-                rows = [(p, digest[i:j].tobytes(), held[i:j].tobytes()) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+                short = digest.view(np.uint8).reshape(-1, 8)[:, :SHORT]  # the part tells the rest
+                rows = [(p, short[i:j].tobytes(), held[i:j].tobytes()) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "digests", "sets"])
 
+    def rows(place: np.ndarray | None, sets: np.ndarray, odd: np.ndarray, crowded: np.ndarray) -> pa.RecordBatch:
+        place = pa.nulls(len(sets), pa.int64()) if place is None else pa.array(place)
+        return pa.RecordBatch.from_arrays([place, pa.array(sets), pa.array(odd.astype(np.int32)), pa.array(crowded)], names=["place", "set", "odd", "crowded"])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests, sets = [], []
         for batch in batches:
             for d, x in zip(batch.column(1), batch.column(2), strict=True):
-                digests.append(np.frombuffer(d.as_py(), np.uint64))
                 sets.append(np.frombuffer(x.as_py(), np.int64))
+                digests.append(np.zeros((len(sets[-1]), 8), np.uint8))
+                digests[-1][:, :SHORT] = np.frombuffer(d.as_py(), np.uint8).reshape(-1, SHORT)
         if not digests:
             return
-        digest, held = np.concatenate(digests), np.concatenate(sets)
+        digest, held = np.concatenate(digests).view(np.uint64)[:, 0], np.concatenate(sets)
         del digests, sets
-        order = np.lexsort((held, digest))
+        order = np.lexsort((held, digest >> U64(1)))
         digest, held = digest[order], held[order]
+        sparse, digest = (digest & U64(1)).astype(np.int64), digest >> U64(1)
         fresh = np.ones(len(digest), bool)  # tasks may have sent the same set
         fresh[1:] = (digest[1:] != digest[:-1]) | (held[1:] != held[:-1])
-        digest, held = digest[fresh], held[fresh]
+        digest, held, sparse = digest[fresh], held[fresh], sparse[fresh]
         new = np.concatenate(([True], digest[1:] != digest[:-1]))
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(held)))
         # a place is named for its sets, so that equal places are one
-        name = X.mix(np.add.reduceat(X.mix(held.view(np.uint64)), at) + size.astype(np.uint64)).view(np.int64)
+        name = X.mix(np.add.reduceat(X.mix(held.view(np.uint64)), at) + size.astype(np.uint64))
+        odd = np.where(size > crowd, (digest[at] & U64(1)).astype(np.int64), -1)
+        name = np.where(odd < 0, name, X.mix(name + odd.view(np.uint64))).view(np.int64)
         _, once = np.unique(name, return_index=True)
         once = once[size[once] > 1]
         n = size[once]
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place, held = np.repeat(name[once], n), held[inside + np.repeat(at[once], n)]
+        # every crowded band counts, whether or not its place is there already
+        for o in (0, 1):
+            own = np.repeat(odd == o, size)
+            sets, which, count = np.unique(held[own], return_inverse=True, return_counts=True)
+            count += SPARSE * (np.bincount(which, sparse[own], len(sets)) > 0)
+            for i in range(0, len(sets), 100_000):
+                yield rows(None, sets[i : i + 100_000], np.full(len(sets[i : i + 100_000]), o), count[i : i + 100_000])
+        place, odd, held = np.repeat(name[once], n), np.repeat(odd[once], n), held[inside + np.repeat(at[once], n)]
         for i in range(0, len(held), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(place[i : i + 100_000]), pa.array(held[i : i + 100_000])], names=["place", "set"])
+            yield rows(place[i : i + 100_000], held[i : i + 100_000], odd[i : i + 100_000], np.zeros(len(held[i : i + 100_000]), np.int64))
 
     dealt = docs.where("doc_id is not null").select(F.col("text").alias("_text")).mapInArrow(deal, "part int, digests binary, sets binary")
-    return dealt.repartition(n_out, "part").mapInArrow(meet, "place bigint, set bigint").distinct()
+    met = dealt.repartition(n_out, "part").mapInArrow(meet, "place bigint, set bigint, odd int, crowded bigint")
+    return met.groupBy("place", "set", "odd").agg(F.sum("crowded").alias("crowded"))
+
+
+def _uncrowded(met: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """(place, set) of those of _meetings by which every two sets that may link still meet.
+
+    If one of the two has no more empty and no more crowded bands than it can spare, they share a
+    band that is neither; so crowded places need only the other sets. Two others agree in a crowded
+    band, or else in empty ones alone, which both send.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            odd, crowded, n = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            tops = _tops(int(n.max()), percent)
+            own = np.searchsorted(tops, n)
+            spare = _spare(n, tops[own + ((own & 1) != odd)], percent)[1]
+            yield batch.filter(pa.array(crowded > spare)).select(["set", "odd"])
+
+    counts = met.where("place is null").select("set", "odd", "crowded").join(drawn.select("set", "n_shingles"), "set")
+    need = counts.select("set", "odd", "crowded", "n_shingles").mapInArrow(run, "set bigint, odd int").distinct()
+    met = met.where("place is not null").select("place", "set", "odd")
+    return met.where("odd < 0").unionByName(met.where("odd >= 0").join(need, ["set", "odd"], "left_semi")).select("place", "set")
 
 
 def _likely(met: DataFrame, percent: int) -> DataFrame:
@@ -431,7 +496,7 @@ def _bundles(texts: DataFrame, k: int, percent: int) -> DataFrame:
     return texts.mapInArrow(join, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, bundle_sets: int = BUNDLE_SETS, bundle_shingles: int = BUNDLE_SHINGLES) -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, bundle_sets: int = BUNDLE_SETS, bundle_shingles: int = BUNDLE_SHINGLES, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     if not 70 <= percent <= 100:
         raise ValueError("percent must be from 70 to 100")
@@ -441,8 +506,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, bun
     filled = sizes.where("doc_id is not null and n_shingles > 0")
     group = filled.groupBy(*name).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     drawn = filled.groupBy(*name).agg(F.min("doc_id").alias("rep"), F.min("set").alias("set"), F.min("sketch").alias("sketch"))
-    met = cut(_meetings(docs, shingle, percent), "met")
-    likely = cut(_likely(met.join(drawn, "set").select("place", "rep", "n_shingles", "sketch"), percent), "likely")
+    met = cut(_meetings(docs, shingle, percent, crowd), "met")
+    meet = _uncrowded(met, drawn, percent)
+    likely = cut(_likely(meet.join(drawn, "set").select("place", "rep", "n_shingles", "sketch"), percent), "likely")
     discard(met)
     rep = group.select("rep", "n_shingles").join(components(likely).withColumnRenamed("node", "rep"), "rep")
     width = rep.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total")).where("sets > 1")

@@ -64,6 +64,37 @@ def test_jaccard_components(spark, bundle):
         assert got == brute.jaccard_components(rows, 5, 80)
 
 
+@pytest.mark.parametrize("shingle, percent", [(4, 85), (5, 80), (2, 70)])
+def test_crowded_bands_lose_no_link(spark, shingle, percent):
+    rows = near_copies(percent)
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, f"{common} {t}" if i % 2 and t else t) for i, t in rows]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_trie.jaccard_components(frame(spark, rows), shingle, percent, crowd=1).collect()}
+    assert got == brute.jaccard_components(rows, shingle, percent)
+
+
+def test_unrelated_sets_hardly_meet(spark, monkeypatch):
+    """Neither by bands that are empty nor by a passage that all have, however many they are."""
+    r = random.Random(6)
+    common = " ".join(f"c{i}" for i in range(25))
+    rows = [(i, " ".join(f"w{r.randrange(10**9)}" for _ in range(r.randrange(150, 400))) + f" {common}") for i in range(300)]
+    met, likely = [], jaccard_trie._likely
+    monkeypatch.setattr(jaccard_trie, "_likely", lambda x, percent: met.append(x.count()) or likely(x, percent))
+    got = jaccard_trie.jaccard_components(frame(spark, rows), 5, 80).collect()
+    assert all(x.component_id == x.doc_id for x in got)
+    assert met[0] < 5 * len(rows)
+
+
+def test_empty_bands_of_unrelated_sets_are_not_sent():
+    r = np.random.default_rng(6)
+    size = r.integers(300, 2000, 300)
+    first = np.concatenate(([0], np.cumsum(size)))
+    h = np.concatenate([np.sort(r.integers(0, 2**63, n).astype(np.uint64)) for n in size])
+    digests, _ = jaccard_trie.band_digests(h, first, 80)
+    _, count = np.unique(digests >> np.uint64(2), return_counts=True)
+    assert count[count > 1].sum() < 2 * len(size)
+
+
 def test_jaccard_edges(spark):
     rows = [(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (3, "a b c d e"), (9, None)]
     out = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard_trie.jaccard_components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").fillna(-5, ["component_id"]).collect())
