@@ -57,6 +57,8 @@ CROWD = 12
 SPARSE = 1 << 40
 #: Bytes of a digest that are sent (little-endian, the lowest).
 SHORT = 5
+#: Rows of a part that are spread out and sorted together where sets meet.
+MEET_ROWS = 250_000
 
 
 def shingle_sets(block: X.Block, k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -256,61 +258,45 @@ def _sizes(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, set bigint, sketch binary")
 
 
-def _meetings(docs: DataFrame, k: int, percent: int, crowd: int = CROWD) -> DataFrame:
-    """(place, set, odd, crowded): sets with the same place share a band.
+def _flat(column: pa.Array, kind: type) -> np.ndarray:
+    """The bytes of all rows of a binary column as one array, not copied."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind)
 
-    odd is -1 at places of up to crowd sets. At others it tells whether their class is odd, and rows
-    without a place sum up the crowded bands of a set in the odd and in the even one of its classes.
-    A set that sends its empty bands has SPARSE more.
-    """
-    n_out = partitions(docs.sparkSession)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.empty(0, np.int64)  # sets of this task, in order
-        for batch in batches:
-            for block in X.blocks(batch.column(0)):
-                h, first = shingle_sets(block, k)
-                own = identities(h, first)[3]
-                new = np.zeros(len(own), bool)
-                new[np.unique(own, return_index=True)[1]] = True
-                if len(seen):
-                    new &= seen[np.minimum(np.searchsorted(seen, own), len(seen) - 1)] != own
-                seen = np.union1d(seen, own)
-                size = np.diff(first)
-                h, own = h[np.repeat(new, size)], own[new]
-                first = np.concatenate(([0], np.cumsum(size[new])))
-                digest, which = band_digests(h, first, percent)
-                part = (digest >> U64(40)).astype(np.int64) % n_out
-                order = np.lexsort((digest, part))
-                digest, held, part = digest[order], own[which[order]], part[order]
-                cuts = np.searchsorted(part, np.arange(n_out + 1))
-                short = digest.view(np.uint8).reshape(-1, 8)[:, :SHORT]  # the part tells the rest
-                rows = [(p, short[i:j].tobytes(), held[i:j].tobytes()) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "digests", "sets"])
+def _met_rows(place: np.ndarray | None, sets: np.ndarray, odd: np.ndarray, crowded: np.ndarray) -> pa.RecordBatch:
+    place = pa.nulls(len(sets), pa.int64()) if place is None else pa.array(place)
+    return pa.RecordBatch.from_arrays([place, pa.array(sets), pa.array(odd.astype(np.int32)), pa.array(crowded)], names=["place", "set", "odd", "crowded"])
 
-    def rows(place: np.ndarray | None, sets: np.ndarray, odd: np.ndarray, crowded: np.ndarray) -> pa.RecordBatch:
-        place = pa.nulls(len(sets), pa.int64()) if place is None else pa.array(place)
-        return pa.RecordBatch.from_arrays([place, pa.array(sets), pa.array(odd.astype(np.int32)), pa.array(crowded)], names=["place", "set", "odd", "crowded"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, sets = [], []
-        for batch in batches:
-            for d, x in zip(batch.column(1), batch.column(2), strict=True):
-                sets.append(np.frombuffer(x.as_py(), np.int64))
-                digests.append(np.zeros((len(sets[-1]), 8), np.uint8))
-                digests[-1][:, :SHORT] = np.frombuffer(d.as_py(), np.uint8).reshape(-1, SHORT)
-        if not digests:
-            return
-        digest, held = np.concatenate(digests).view(np.uint64)[:, 0], np.concatenate(sets)
-        del digests, sets
+def meet(batches: Iterator[pa.RecordBatch], crowd: int, at_once: int = MEET_ROWS) -> Iterator[pa.RecordBatch]:
+    """(place, set, odd, crowded) of a part's (part, digests, sets).
+
+    The part stays as it was sent, 13 bytes a row; about so many rows at once, those of a range of digests, are
+    spread out and sorted.
+    """
+    sent = [(_flat(batch.column(1), np.uint8).reshape(-1, SHORT), _flat(batch.column(2), np.int64)) for batch in batches if len(batch)]
+    n_ranges = min(1 << 16, -(-sum(len(x) for _, x in sent) // at_once))
+    # the highest bytes of what was sent tell the range: neither the part nor the two flags depend on them
+    ranges = [((d[:, -1].astype(np.uint32) << 8 | d[:, -2]) * np.uint32(n_ranges) >> 16).astype(np.uint16) for d, _ in sent]
+    known = np.empty(0, np.int64)
+    for r in range(n_ranges):
+        rows = [np.flatnonzero(x == r) for x in ranges]
+        held = np.concatenate([x[i] for (_, x), i in zip(sent, rows, strict=True)])
+        if not len(held):
+            continue
+        digest = np.zeros((len(held), 8), np.uint8)
+        np.concatenate([d[i] for (d, _), i in zip(sent, rows, strict=True)], out=digest[:, :SHORT])
+        digest = digest.view(np.uint64)[:, 0]
         order = np.lexsort((held, digest >> U64(1)))
         digest, held = digest[order], held[order]
         sparse, digest = (digest & U64(1)).astype(np.int64), digest >> U64(1)
         fresh = np.ones(len(digest), bool)  # tasks may have sent the same set
         fresh[1:] = (digest[1:] != digest[:-1]) | (held[1:] != held[:-1])
         digest, held, sparse = digest[fresh], held[fresh], sparse[fresh]
-        new = np.concatenate(([True], digest[1:] != digest[:-1]))
-        at = np.flatnonzero(new)
+        at = np.flatnonzero(np.concatenate(([True], digest[1:] != digest[:-1])))
         size = np.diff(np.append(at, len(held)))
         # a place is named for its sets, so that equal places are one
         name = X.mix(np.add.reduceat(X.mix(held.view(np.uint64)), at) + size.astype(np.uint64))
@@ -318,6 +304,8 @@ def _meetings(docs: DataFrame, k: int, percent: int, crowd: int = CROWD) -> Data
         name = np.where(odd < 0, name, X.mix(name + odd.view(np.uint64))).view(np.int64)
         _, once = np.unique(name, return_index=True)
         once = once[size[once] > 1]
+        once = once[~np.isin(name[once], known)]
+        known = np.concatenate((known, name[once]))
         n = size[once]
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         # every crowded band counts, whether or not its place is there already
@@ -326,13 +314,52 @@ def _meetings(docs: DataFrame, k: int, percent: int, crowd: int = CROWD) -> Data
             sets, which, count = np.unique(held[own], return_inverse=True, return_counts=True)
             count += SPARSE * (np.bincount(which, sparse[own], len(sets)) > 0)
             for i in range(0, len(sets), 100_000):
-                yield rows(None, sets[i : i + 100_000], np.full(len(sets[i : i + 100_000]), o), count[i : i + 100_000])
+                yield _met_rows(None, sets[i : i + 100_000], np.full(len(sets[i : i + 100_000]), o), count[i : i + 100_000])
         place, odd, held = np.repeat(name[once], n), np.repeat(odd[once], n), held[inside + np.repeat(at[once], n)]
         for i in range(0, len(held), 100_000):
-            yield rows(place[i : i + 100_000], held[i : i + 100_000], odd[i : i + 100_000], np.zeros(len(held[i : i + 100_000]), np.int64))
+            yield _met_rows(place[i : i + 100_000], held[i : i + 100_000], odd[i : i + 100_000], np.zeros(len(held[i : i + 100_000]), np.int64))
+
+
+def _dealt(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(part, digests, sets): the bands of all sets in binary blocks, each task with one part of the digests."""
+    n_out = partitions(docs.sparkSession)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.empty(0, np.int64)  # sets of this task, in order
+        for batch in batches:
+            for block in X.blocks(batch.column(0)):
+                h, first = shingle_sets(block, k)
+                own = identities(h, first)[3]
+                new = np.zeros(len(own), bool)
+                new[np.unique(own, return_index=True)[1]] = True
+                if len(seen):
+                    new &= seen[np.minimum(np.searchsorted(seen, own), len(seen) - 1)] != own
+                seen = np.union1d(seen, own)
+                size = np.diff(first)
+                h, own = h[np.repeat(new, size)], own[new]
+                first = np.concatenate(([0], np.cumsum(size[new])))
+                digest, which = band_digests(h, first, percent)
+                part = (digest >> U64(40)).astype(np.int64) % n_out
+                order = np.lexsort((digest, part))
+                digest, held, part = digest[order], own[which[order]], part[order]
+                cuts = np.searchsorted(part, np.arange(n_out + 1))
+                short = digest.view(np.uint8).reshape(-1, 8)[:, :SHORT]  # the part tells the rest
+                rows = [(p, short[i:j].tobytes(), held[i:j].tobytes()) for p, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "digests", "sets"])
 
     dealt = docs.where("doc_id is not null").select(F.col("text").alias("_text")).mapInArrow(deal, "part int, digests binary, sets binary")
-    met = dealt.repartition(n_out, "part").mapInArrow(meet, "place bigint, set bigint, odd int, crowded bigint")
+    return dealt.repartitionById(n_out, "part")  # by a hash some tasks would get several parts and others none
+
+
+def _meetings(docs: DataFrame, k: int, percent: int, crowd: int = CROWD) -> DataFrame:
+    """(place, set, odd, crowded): sets with the same place share a band.
+
+    odd is -1 at places of up to crowd sets. At others it tells whether their class is odd, and rows
+    without a place sum up the crowded bands of a set in the odd and in the even one of its classes.
+    A set that sends its empty bands has SPARSE more.
+    """
+    dealt = _dealt(docs, k, percent)
+    met = dealt.mapInArrow(lambda batches: meet(batches, crowd), "place bigint, set bigint, odd int, crowded bigint")
     return met.groupBy("place", "set", "odd").agg(F.sum("crowded").alias("crowded"))
 
 

@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from skyfold.llm import decontaminate, jaccard_trie, pii_crf, quality_gbt, repetition, secrets, substring_dedup, token_count
 from skyfold.llm import _text as X
@@ -95,6 +98,53 @@ def test_empty_bands_of_unrelated_sets_are_not_sent():
     assert count[count > 1].sum() < 2 * len(size)
 
 
+def bands_of_a_part(rows, blocks=50):
+    """What tasks send of one part: places of one set and of a few or many, under digests with their two flags."""
+    r = np.random.default_rng(7)
+    places, sets, sent = r.integers(0, 2**40, rows // 20, dtype=np.uint64), r.integers(-(2**62), 2**62, rows // 30), []
+    for _ in range(blocks):
+        m = rows // blocks
+        digest, shared = r.integers(0, 2**40, m, dtype=np.uint64), r.random(m) < 0.4
+        digest[shared] = places[(r.random(shared.sum()) ** 3 * len(places)).astype(int)] ^ r.integers(0, 2, shared.sum(), dtype=np.uint64)
+        sent.append((0, digest.view(np.uint8).reshape(-1, 8)[:, : jaccard_trie.SHORT].tobytes(), sets[r.integers(0, len(sets), m)].tobytes()))
+    return pa.RecordBatch.from_pylist([dict(zip(("part", "digests", "sets"), x, strict=True)) for x in sent], pa.schema({"part": pa.int32(), "digests": pa.binary(), "sets": pa.binary()}))
+
+
+def test_sets_meet_in_ranges_as_at_once():
+    batch, found = bands_of_a_part(30_000), []
+    for at_once in (10**9, 5_000, 300):
+        met = Counter()
+        places = 0
+        for out in jaccard_trie.meet(iter([batch.slice(0, 20), batch.slice(20, 0), batch.slice(20)]), 12, at_once):
+            for place, held, odd, crowded in zip(*(x.to_pylist() for x in out.columns), strict=True):
+                places += place is not None
+                met[place, held, odd] += crowded % jaccard_trie.SPARSE
+                met[place, held, odd, "sparse"] |= crowded >= jaccard_trie.SPARSE
+        found.append((places, met))
+    assert found[0] == found[1] == found[2] and found[0][0] > 1000
+    assert not list(jaccard_trie.meet(iter([]), 12))
+
+
+def test_meeting_sets_take_little_memory_beside_their_part():
+    batch = bands_of_a_part(2_000_000)
+    tracemalloc.start()
+    for _ in jaccard_trie.meet(iter([batch]), 12):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 150 MB when the whole part is spread out at once
+
+
+def test_each_task_meets_one_part(spark):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        parts = jaccard_trie._dealt(frame(spark, near_copies(3)), 4, 85).select("part", F.spark_partition_id().alias("task")).distinct().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert len(parts) == len({x.task for x in parts}) == 16
+
+
 def test_jaccard_edges(spark):
     rows = [(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (3, "a b c d e"), (9, None)]
     out = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard_trie.jaccard_components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").fillna(-5, ["component_id"]).collect())
